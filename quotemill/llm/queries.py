@@ -55,3 +55,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import manifest
 
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
