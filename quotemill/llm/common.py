@@ -123,3 +123,13 @@ def ranks_in_groups(df: DataFrame, group: str, order: list[str], name: str, buck
     local = spread.withColumn(name, F.row_number().over(Window.partitionBy(group, b).orderBy(*order)).cast("long") - 1)
     out = local.join(bases, (F.col(group) == F.col(f"__{group}")) & (F.col(b) == F.col(f"__{b}")))
     return out.withColumn(name, F.col(name) + F.col(base)).drop(b, base, f"__{group}", f"__{b}")
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the driver found it only on its own path."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in (os.environ.get("PYTHONPATH", "") + os.pathsep + env.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
