@@ -185,24 +185,19 @@ def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks belong to the article."""
     least = max((b.inside for b in blocks if not b.barred), default=0)
     first = [_alone(b, least) for b in blocks]
-    n = len(blocks)
-    before, after = [(BAD, n)] * n, [(BAD, n)] * n
-    seen, gap = BAD, n
-    for i in range(n):
-        before[i] = (seen, gap)
-        seen, gap = (first[i], 1) if first[i] in (GOOD, BAD) else (seen, gap + 1)
-    seen, gap = BAD, n
-    for i in range(n - 1, -1, -1):
-        after[i] = (seen, gap)
-        seen, gap = (first[i], 1) if first[i] in (GOOD, BAD) else (seen, gap + 1)
-    out = []
+    # What is barred by its place says nothing about its neighbours.
+    decided = [(i, x) for i, x in enumerate(first) if x in (GOOD, BAD) and not blocks[i].barred]
+    out, k = [], 0
     for i, label in enumerate(first):
+        while k < len(decided) and decided[k][0] < i:
+            k += 1
         if label in (NEAR, BRIEF):
-            (x, dx), (y, dy) = before[i], after[i]
-            if least:
+            x, dx = (decided[k - 1][1], i - decided[k - 1][0]) if k else (None, 0)
+            y, dy = (decided[k][1], decided[k][0] - i) if k < len(decided) else (None, 0)
+            if least or (x is None and y is None):
                 label = GOOD
-            elif x == y:
-                label = x if label == BRIEF or GOOD in (x, y) or any(b == GOOD for b in first) else GOOD
+            elif x is None or y is None or x == y:
+                label = x if x is not None else y
             elif label == NEAR:
                 label = GOOD
             elif blocks[i].heading:  # a heading goes with what follows
