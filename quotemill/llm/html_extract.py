@@ -1,8 +1,8 @@
 """HTML extraction 4: two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides blocks alone: what stands in menus, headers, footers, sidebars,
-notices, adverts, forms or comments (by element, role, class or id) or is mostly links is bad; long blocks dense in stop words are good; middling
-ones without stop words are bad; the others, short or in between, are ambiguous. Pass 2 gives ambiguous blocks the label of the nearest decided
+notices, adverts, forms or comments (by element, role, class or id) or is mostly links is bad; long blocks dense in stop words are good; those
+without stop words that hold links are bad; the others, short or in between, are ambiguous. Pass 2 gives ambiguous blocks the label of the nearest decided
 neighbours: that of both where they agree, else good if the block is close to good, or stands nearer to a good one. If the page marks its article
 (article, main, or the like), only blocks inside it can be good, and there ambiguous blocks are.
 
@@ -178,7 +178,9 @@ def _alone(b: Block, least: int) -> int:
     stops = stop_density(b.text)
     if stops >= STOP_HIGH:
         return GOOD if len(b.text) > LONG else NEAR
-    return NEAR if stops >= STOP_LOW or (not b.links and len(b.text) > LONG) else BAD
+    if b.links:
+        return NEAR if stops >= STOP_LOW else BAD
+    return NEAR if stops >= STOP_LOW or len(b.text) > LONG else BRIEF
 
 
 def classify(blocks: list[Block]) -> list[bool]:
