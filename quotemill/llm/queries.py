@@ -84,3 +84,32 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+#: Stupid backoff of order 2; the document's own occurrences are taken off.
+ORACLE_SQL["op5_lm_scoring"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL)),
+total AS (SELECT count(*) AS n FROM w),
+b AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w),
+u1 AS (SELECT word, count(*) AS c FROM w GROUP BY 1), o1 AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY 1, 2),
+u2 AS (SELECT before, word, count(*) AS c FROM b WHERE before IS NOT NULL GROUP BY 1, 2),
+o2 AS (SELECT doc_id, before, word, count(*) AS c FROM b WHERE before IS NOT NULL GROUP BY 1, 2, 3),
+size AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+s AS (
+  SELECT b.doc_id, CASE
+    WHEN u2.c > o2.c THEN (u2.c - o2.c) / greatest(p.c - op.c, 1)
+    ELSE CASE WHEN b.before IS NULL THEN 1 ELSE 0.4 END * CASE WHEN u1.c > o1.c THEN u1.c - o1.c ELSE 0.5 END::DOUBLE / greatest(total.n - size.n, 1) END AS score
+  FROM b JOIN total ON true JOIN size USING (doc_id) JOIN u1 ON u1.word = b.word JOIN o1 ON o1.doc_id = b.doc_id AND o1.word = b.word
+  LEFT JOIN u2 ON u2.before = b.before AND u2.word = b.word LEFT JOIN o2 ON o2.doc_id = b.doc_id AND o2.before = b.before AND o2.word = b.word
+  LEFT JOIN u1 p ON p.word = b.before LEFT JOIN o1 op ON op.doc_id = b.doc_id AND op.word = b.before),
+scored AS (SELECT doc_id, count(*) AS n_words, round(sum(ln(score)) / count(*), 6) AS mean_log_score FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, mean_log_score FROM documents d LEFT JOIN scored USING (doc_id)"""
