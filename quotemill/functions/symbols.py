@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +26,16 @@ def symbol_hash(symbol: Column) -> Column:
     A signed product would overflow, so the steps are taken in decimals, on high and low halves: this is for
     distinct symbols (``add_shard``), not for every message.
     """
-    padded = F.hex(F.encode(make_symbol(symbol), "ISO-8859-1"))
+    digits = F.hex(F.encode(make_symbol(symbol), "ISO-8859-1"))
+    wide = lambda c: c.cast("decimal(38,0)")
+    whole = F.transform(F.sequence(F.lit(0), F.lit(SYMBOL_BYTES - 1)), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
 
-    def step(h: Column, i: int) -> Column:
-        byte = F.conv(F.substring(padded, 2 * i + 1, 2), 16, 10).cast("int")
-        low = F.pmod(h, F.lit(256).cast("decimal(38,0)")).cast("int")
-        mixed = h - low.cast("decimal(38,0)") + low.bitwiseXOR(byte).cast("decimal(38,0)")
-        return F.pmod((mixed.cast("decimal(21,0)") * F.lit(HASH_FACTOR).cast("decimal(17,0)")).cast("decimal(38,0)"), F.lit(str(_MOD)).cast("decimal(38,0)")).cast("decimal(38,0)")
+    def step(h: Column, byte: Column) -> Column:
+        low = F.pmod(h, wide(F.lit(256))).cast("int")
+        mixed = (h - wide(low) + wide(low.bitwiseXOR(byte))).cast("decimal(21,0)")
+        return wide(F.pmod(wide(mixed * F.lit(HASH_FACTOR).cast("decimal(16,0)")), wide(F.lit(str(_MOD)))))
 
-    return reduce(step, range(SYMBOL_BYTES), F.lit(HASH_START).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return F.when(symbol.isNotNull(), F.aggregate(whole, wide(F.lit(HASH_START)), step)).cast("decimal(20,0)")
 
 
 def shard_of(symbol: Column, shards: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared
 from .prefix import CHUNK, running
 
 
@@ -14,18 +15,23 @@ def classify(observed: DataFrame, shard: str = "shard", order: str = "arrival_no
     ``observed`` holds seq_num, and may hold ``resync``: rows where it is true set the last number and make the shard live
     again; they have kind Resync. The last number is a running maximum since the last resync: a duplicate leaves it.
     """
-    if "resync" not in observed.columns:
-        observed = observed.withColumn("resync", F.lit(False))
-    rows = running(observed, [shard], order, {"_segment": ("sum", F.col("resync").cast("long"), True)}, chunk)
-    rows = running(rows, [shard], order, {"_last": ("max", F.struct(F.col("_segment").alias("segment"), F.col("seq_num").alias("seq")), False)}, chunk)
-    last = F.when(F.col("_last.segment") == F.col("_segment"), F.col("_last.seq"))
-    rows = rows.withColumn("last_seq", last)
-    kind = F.when(F.col("resync"), "Resync").when(F.col("last_seq").isNull() | (F.col("seq_num") == F.col("last_seq") + 1), "InOrder").when(F.col("seq_num") > F.col("last_seq"), "Gap").otherwise("Duplicate")
-    rows = rows.withColumn("kind", kind)
+    # What runs below reads its rows several times: written once, they aren't computed anew each time.
+    rows = shared(observed, "observed")
+    resyncs = "resync" in observed.columns
+    segment = F.lit(0).cast("long")
+    if resyncs:
+        rows = running(rows, [shard], order, {"_segment": ("sum", F.col("resync").cast("long"), True)}, chunk)
+        segment = F.col("_segment")
+    rows = running(rows, [shard], order, {"_last": ("max", F.struct(segment.alias("segment"), F.col("seq_num").alias("seq")), False)}, chunk)
+    rows = rows.withColumn("last_seq", F.when(F.col("_last.segment") == segment, F.col("_last.seq")))
+    kind = F.when(F.col("last_seq").isNull() | (F.col("seq_num") == F.col("last_seq") + 1), "InOrder").when(F.col("seq_num") > F.col("last_seq"), "Gap").otherwise("Duplicate")
+    rows = rows.withColumn("kind", F.when(F.col("resync"), "Resync").otherwise(kind) if resyncs else kind)
     gap = F.col("kind") == "Gap"
     rows = rows.withColumn("expected", F.when(gap, F.col("last_seq") + 1)).withColumn("missing", F.when(gap, F.col("seq_num") - F.col("last_seq") - 1))
-    rows = running(rows, [shard], order, {"gaps_total": ("sum", gap.cast("long"), True), "_stale": ("max", F.struct(F.col("_segment").alias("segment"), gap.cast("int").alias("gap")), True)}, chunk)
-    stale = (F.col("_stale.segment") == F.col("_segment")) & (F.col("_stale.gap") == 1)
+    if not resyncs:
+        return running(rows, [shard], order, {"gaps_total": ("sum", gap.cast("long"), True)}, chunk).withColumn("stale", F.col("gaps_total") > 0).drop("_last")
+    rows = running(rows, [shard], order, {"gaps_total": ("sum", gap.cast("long"), True), "_stale": ("max", F.struct(segment.alias("segment"), gap.cast("int").alias("gap")), True)}, chunk)
+    stale = (F.col("_stale.segment") == segment) & (F.col("_stale.gap") == 1)
     return rows.withColumn("stale", stale).drop("_segment", "_last", "_stale")
 
 

@@ -144,8 +144,9 @@ def routed_ids(folded: DataFrame) -> DataFrame:
     add, cancel, execute, replace = (F.col("msg_type") == k for k in (ADD, CANCEL, EXECUTE, REPLACE))
     gone = cancel | (execute & ((F.col("error") == NOT_FOUND) | (F.try_element_at("legs", F.lit(1))["d_count"] == -1)))
     ok = folded.filter(F.col("error").isNull() | (F.col("error") != UNROUTABLE))
-    words = ok.filter(add | gone).select("order_id", "arrival_no", F.lit(1).alias("part"), F.when(add, F.col("symbol")).alias("symbol"))
-    old = ok.filter(replace).select("order_id", "arrival_no", F.lit(0).alias("part"), F.lit(None).cast("string").alias("symbol"))
-    new = ok.filter(replace).select(F.col("new_order_id").alias("order_id"), "arrival_no", F.lit(1).alias("part"), "symbol")
-    last = words.unionByName(old).unionByName(new).groupBy("order_id").agg(F.max(F.struct("arrival_no", "part", "symbol")).alias("last"))
+    word = lambda on, oid, part, symbol: F.when(on, F.struct(oid.alias("order_id"), F.lit(part).alias("part"), symbol.alias("symbol")))
+    none = F.lit(None).cast("string")
+    said = F.array(word(add | gone, F.col("order_id"), 1, F.when(add, F.col("symbol"))), word(replace, F.col("order_id"), 0, none), word(replace, F.col("new_order_id"), 1, F.col("symbol")))
+    words = ok.select("arrival_no", F.explode(F.array_compact(said)).alias("w")).select("arrival_no", "w.*")
+    last = words.groupBy("order_id").agg(F.max(F.struct("arrival_no", "part", "symbol")).alias("last"))
     return last.filter("last.symbol is not null").select("order_id", "last.symbol")

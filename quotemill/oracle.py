@@ -5,9 +5,16 @@ from __future__ import annotations
 FEED = r"""
 WITH RECURSIVE symbols AS (
   SELECT 'SYM' || lpad(i::VARCHAR, 2, '0') AS symbol, i FROM range(16) t(i)),
-hashed AS (
-  SELECT symbol, i, list_reduce(list_prepend(1469598103934665603::HUGEINT, list_transform(range(1, 9), k -> CASE WHEN k <= length(symbol) THEN ascii(symbol[k])::HUGEINT ELSE 0::HUGEINT END)),
-    (h, c) -> (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS hash FROM symbols),
+h0 AS (SELECT symbol, i, 1469598103934665603::HUGEINT AS h FROM symbols),
+h1 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 1 THEN ascii(symbol[1]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h0),
+h2 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 2 THEN ascii(symbol[2]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h1),
+h3 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 3 THEN ascii(symbol[3]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h2),
+h4 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 4 THEN ascii(symbol[4]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h3),
+h5 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 5 THEN ascii(symbol[5]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h4),
+h6 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 6 THEN ascii(symbol[6]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h5),
+h7 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 7 THEN ascii(symbol[7]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h6),
+h8 AS (SELECT symbol, i, (xor(h, CASE WHEN length(symbol) >= 8 THEN ascii(symbol[8]) ELSE 0 END::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT AS h FROM h7),
+hashed AS (SELECT symbol, i, h AS hash FROM h8),
 dim AS (SELECT symbol AS feed_symbol, i, hash, (hash % 4)::INTEGER AS shard FROM hashed),
 base AS (
   SELECT event_id AS arrival_no, CASE WHEN event_type IN ('signup', 'view') THEN 1 WHEN event_type = 'error' THEN 2 WHEN event_type = 'click' THEN 3 WHEN event_type = 'purchase' THEN 4 END AS msg_type,

@@ -13,7 +13,7 @@ from .functions.symbols import add_shard, shard_of, symbol_hash
 from .operators import gaps, latency, levels, lifecycle, lineage, retention
 from .oracle import ORACLE_SQL
 from .plans.pipeline import Batch, run_messages, run_packets
-from .plans.storage import importable
+from .plans.storage import importable, shared
 from .sources import events_feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = codec.encode(events_feed.messages(spark, sf_dir)).select("arrival_no", "raw")
-    return codec.decode(raw).select(*MESSAGE, "decode_error")
+    return codec.decode(shared(raw, "packets")).select(*MESSAGE, "decode_error")
 
 
 @query
@@ -67,7 +67,7 @@ def decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = F.col("arrival_no"), F.col("raw")
     size = F.octet_length(r)
     bad = (F.when(n % 13 == 0, F.substring(r, F.lit(1), size - 5)).when(n % 17 == 0, F.concat(F.unhex(F.lit("FF")), F.substring(r, F.lit(2), size))).when(n % 19 == 0, F.concat(F.substring(r, 1, 1), F.unhex(F.lit("FFFF")), F.substring(r, F.lit(4), size))).when(n % 23 == 0, F.concat(r, F.unhex(F.lit("00AA")))).when(n % 29 == 0, F.substring(r, 1, 2)).otherwise(r))
-    return codec.decode(raw.withColumn("raw", bad)).groupBy("decode_error").agg(F.count(F.lit(1)).alias("n"), F.count("seq_num").alias("n_decoded"))
+    return codec.decode(shared(raw.withColumn("raw", bad), "packets")).groupBy("decode_error").agg(F.count(F.lit(1)).alias("n"), F.count("seq_num").alias("n_decoded"))
 
 
 @query
@@ -112,7 +112,8 @@ def legs_from_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the wire, lost packets included."""
     sent = events_feed.generated(spark, sf_dir).filter("not before_start")
     packets = codec.encode(sent).select("arrival_no", "channel", F.when(~F.col("lost"), F.col("raw")).alias("raw"))
-    return run_packets(packets, events_feed.SHARDS, "channel").legs.select(*LEG)
+    # Captured first, as packets are in life: else the encoder would be inlined into every field of the decoder.
+    return run_packets(shared(packets, "packets"), events_feed.SHARDS, "channel").legs.select(*LEG)
 
 
 @query
