@@ -1,18 +1,19 @@
-"""What several text operators share: words, Arrow slices, shared tables, ranks."""
+"""What several text operators share: words, Arrow slices, ranks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import free_name, importable, shared, unshare
+
+__all__ = ["Ids", "as_bytes", "free_name", "importable", "ranks_in_groups", "shared", "steps", "unshare", "words_of"]
+
 #: Bytes of text that one vectorised step works on; longer single texts make a step of their own.
 STEP_BYTES = 2 << 20
 
@@ -48,62 +49,6 @@ def as_bytes(name: str) -> Column:
     return F.col(name).cast("binary")
 
 
-def free_name(taken: Iterable[str], base: str) -> str:
-    """``base``, with underscores before it until no column has that name (compared without case)."""
-    low = {x.lower() for x in taken}
-    while base.lower() in low:
-        base = "_" + base
-    return base
-
-
-# ---- tables in the shared folder ----
-
-_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this application's own under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-        if not top:
-            if not (spark.sparkContext.master or "").startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            top = "file://" + tempfile.mkdtemp(prefix="quotemill-")
-        _roots[app] = f"{top.rstrip('/')}/quotemill-{uuid.uuid4().hex}"
-        atexit.register(_quietly, lambda: drop_path(spark, _roots[app]))
-    return _roots[app]
-
-
-def _quietly(f: Callable[[], None]) -> None:
-    try:
-        f()
-    except Exception:  # the session may have ended
-        pass
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path by Hadoop's file system, so that any store will do."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def shared(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet into the shared folder and reads them: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.shared_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def unshare(df: DataFrame) -> None:
-    """Deletes what ``shared`` wrote for this very DataFrame."""
-    drop_path(df.sparkSession, df.shared_path)  # type: ignore[attr-defined]
-
-
 # ---- ranks within groups, without one task per group ----
 
 def ranks_in_groups(df: DataFrame, group: str, order: list[str], name: str, buckets: int = 128) -> DataFrame:
@@ -114,8 +59,6 @@ def ranks_in_groups(df: DataFrame, group: str, order: list[str], name: str, buck
     tasks. Equal rows get ranks in any order. The counts are at most groups x buckets rows.
     """
     b, n, base = (free_name(df.columns, x) for x in ("bucket", "count", "base"))
-    from pyspark.sql import Window
-
     spread = df.withColumn(b, F.pmod(F.xxhash64(*order, F.lit("rank")), F.lit(buckets)).cast("int"))
     counts = spread.groupBy(group, b).agg(F.count(F.lit(1)).alias(n))
     bases = counts.withColumn(base, F.sum(n).over(Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))).select(
@@ -123,13 +66,3 @@ def ranks_in_groups(df: DataFrame, group: str, order: list[str], name: str, buck
     local = spread.withColumn(name, F.row_number().over(Window.partitionBy(group, b).orderBy(*order)).cast("long") - 1)
     out = local.join(bases, (F.col(group) == F.col(f"__{group}")) & (F.col(b) == F.col(f"__{b}")))
     return out.withColumn(name, F.col(name) + F.col(base)).drop(b, base, f"__{group}", f"__{b}")
-
-
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it only on its own path."""
-    import os
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in (os.environ.get("PYTHONPATH", "") + os.pathsep + env.get("PYTHONPATH", "")).split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)

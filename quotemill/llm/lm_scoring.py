@@ -45,8 +45,8 @@ def grams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.nd
     out, now = [], h
     for n in range(1, order + 1):
         if n > 1:
-            now = np.r_[_mix(now[:-1], h[n - 1 :][: len(now) - 1]), np.zeros(1, np.uint64)] if len(now) else now
-            now[max(0, len(h) - n + 1) :] = 0
+            full = max(0, len(h) - n + 1)
+            now = np.r_[_mix(now[:full], h[n - 1 :]), np.zeros(len(h) - full, np.uint64)]
         out.append(_mix(now, np.full(len(now), np.uint64(n))))
     return counts, out, np.repeat(np.arange(len(per)), counts)
 

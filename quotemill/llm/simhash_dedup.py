@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import as_bytes, free_name, shared, steps
-from .components import components
 
 SEED, SHINGLE, DISTANCE, SEGMENTS, SEGMENT = 42, 3, 3, 4, 16
 #: Representatives of one bucket that are compared by an equi-join.
@@ -140,13 +140,16 @@ def _links_in_large_buckets(keyed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, fp long, component_id, *extra) for every row. component_id: the smallest doc_id reachable."""
+    """(doc_id, fp long, *extra, grouped long, component_id) for every row.
+
+    component_id: the smallest doc_id reachable; grouped: the group's least fingerprint, which tells groups apart even where doc_ids are not unique.
+    """
     rows = shared(fingerprints(docs, id_col=id_col, text_col=text_col, extra=extra), "simhash")
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(reps.select("fp"), most))
     named = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
+    by_fp = named.join(least, "component").select(F.col("fp").alias("_fp"), F.col("component").alias("grouped"), "component_id")
     return rows.join(by_fp, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
@@ -157,11 +160,10 @@ def hex_of(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest doc_id, ties by a hash of the row."""
-    tag = free_name(docs.columns, "row_tag")
+    tag, own_id, own_tag = (free_name(docs.columns, x) for x in ("row_tag", "kept_id", "kept_tag"))
     whole = F.xxhash64(*(docs[c] for c in docs.columns))
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, most=most, extra={"tag": whole})
-    # Only copies share a row's id and tag; rows that have no id lose to any other.
-    best = groups.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))).groupBy("component_id", "alone").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.tag").alias("_tag"))
-    kept = docs.withColumn(tag, whole).join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(tag) == F.col("_tag"))).drop("_id", "_tag")
+    # Rows that have no id lose to any other.
+    best = groups.groupBy("grouped").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")).select(F.col("best.doc_id").alias(own_id), F.col("best.tag").alias(own_tag))
+    kept = docs.withColumn(tag, whole).join(best, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tag) == F.col(own_tag))).drop(own_id, own_tag)
     return kept.dropDuplicates([id_col, tag]).drop(tag)

@@ -310,11 +310,11 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows with their repeated words taken out; texts that lose none stay as they are. All rows and columns stay."""
     rows = _rows(docs, id_col, text_col)
-    spans = repeated_spans(rows, **options).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(text_col) == F.col("_row"))
+    doc, row, lost, whole = (free_name(docs.columns, x) for x in ("span_doc", "span_row", "lost_spans", "whole_text"))
+    spans = repeated_spans(rows, **options).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("spans").alias(lost))
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(text_col) == F.col(row))
     both = docs.join(spans, same, "left")
-    whole = free_name(docs.columns, "_whole")
-    both = both.withColumn(whole, F.when(F.col("_spans").isNotNull(), as_bytes(text_col))).withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)))
+    both = both.withColumn(whole, F.when(F.col(lost).isNotNull(), as_bytes(text_col))).withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)))
     names = docs.columns
     at = names.index(text_col)
 
@@ -328,5 +328,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    ordered = both.select(*(F.col(c) for c in names), "_spans", whole)
+    ordered = both.select(*(F.col(c) for c in names), lost, whole)
     return ordered.mapInArrow(run, docs.schema)
