@@ -70,7 +70,7 @@ class Fold:
             if qty > left:
                 return symbol, OVER_EXECUTED, []
             if qty < left:
-                order[2] = left - qty
+                resting[at] = [side, old_price, left - qty]
                 return symbol, None, [(side, old_price, -qty, 0)]
             del resting[at]
             routes.pop(oid, None)

@@ -167,3 +167,6 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT count(*) FILTER (error = 'UnroutableOrderId') AS unroutable, count(*) FILTER (error <> 'UnroutableOrderId') AS rejected, count(*) FILTER (error IS NULL) AS accepted, count(DISTINCT shard) AS shards_with_books FROM folded)
         SELECT g.*, f.*, (SELECT count(*) FROM legs) AS deltas FROM g, f""",
 }
+
+ORACLE_SQL["stream_best_bid_ask"] = ORACLE_SQL["best_bid_ask"]
+ORACLE_SQL["stream_gap_summary"] = ORACLE_SQL["gap_summary"]

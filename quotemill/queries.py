@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,8 +14,9 @@ from .functions.symbols import add_shard, shard_of, symbol_hash
 from .operators import gaps, latency, levels, lifecycle, lineage, retention
 from .oracle import ORACLE_SQL
 from .plans.pipeline import Batch, run_messages, run_packets
-from .plans.storage import importable, shared
+from .plans.storage import importable, shared, shared_root
 from .sources import events_feed
+from .streaming import pipeline as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -292,3 +294,41 @@ def generated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(FeedSource)
     packets = spark.read.format("order_feed").option("symbols", "AAPL,MSFT,GOOG,AMZN,TSLA,NFLX,META,NVDA").option("channels", 4).option("messages", 2000).option("loss", 0.01).option("seed", 777).load()
     return run_packets(packets, 4, "channel").levels
+
+
+# ---- streams ----
+
+def _streamed_messages(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
+    """The feed as a stream of files, in arrival order."""
+    rows = shared(events_feed.messages(spark, sf_dir), "feed")
+    path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    last = rows.agg(F.max("arrival_no")).first()[0] or 0
+    for k in range(batches):
+        part = rows.filter((F.col("arrival_no") * batches >= k * (last + 1)) & (F.col("arrival_no") * batches < (k + 1) * (last + 1)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """All that a stream puts out, as a table."""
+    spark = stream.sparkSession
+    path = f"{shared_root(spark)}/drained-{uuid.uuid4().hex}"
+    streams.start(stream, lambda batch: batch.write.mode("append").parquet(path)).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query
+def stream_best_bid_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best prices from the deltas of the streamed pipeline."""
+    done = _drained(streams.deltas(streams.folded(_streamed_messages(spark, sf_dir))))
+    when = F.struct("arrival_no", "leg")
+    last = done.groupBy(*levels.LEVEL).agg(F.max_by("total_quantity", when).alias("total_quantity"), F.max_by("order_count", when).alias("order_count"))
+    return levels.best_bid_ask(last.filter("order_count > 0"))
+
+
+@query
+def stream_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = add_shard(spark.createDataFrame([(f"SYM{i:02d}",) for i in range(16)], "symbol string"), events_feed.SHARDS)
+    done = _drained(streams.gaps(streams.observed(streams.folded(_streamed_messages(spark, sf_dir)), seen)))
+    missing = F.when(F.col("kind") == "Gap", F.col("seq_num") - F.col("last_seq") - 1)
+    return gaps.gap_summary(done.withColumn("missing", missing))
