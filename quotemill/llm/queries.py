@@ -49,6 +49,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op1_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+g AS (SELECT doc_id, i, n, word, CASE WHEN i + 49 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h FROM w),
+first AS (SELECT h, min(doc_id) AS least FROM g WHERE h IS NOT NULL GROUP BY 1),
+hit AS (SELECT g.*, coalesce(least < doc_id, false) AS gone FROM g LEFT JOIN first USING (h)),
+kept AS (SELECT doc_id, i, word, coalesce(max(gone::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING), 0) = 1 AS removed FROM hit),
+per AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256 FROM kept GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""
+
+
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
