@@ -10,6 +10,14 @@ HASH_START, HASH_FACTOR, SYMBOL_BYTES, MOST_SHARDS = 1469598103934665603, 109951
 _MOD = 1 << 64
 
 
+def hash_text(symbol: str) -> int:
+    """The unsigned 64-bit hash of one padded symbol, outside of Spark."""
+    h = HASH_START
+    for b in symbol.encode("latin-1", "replace")[:SYMBOL_BYTES].ljust(SYMBOL_BYTES, b"\0"):
+        h = (h ^ b) * HASH_FACTOR % _MOD
+    return h
+
+
 def make_symbol(name: Column) -> Column:
     """Eight characters: cut, or padded with NUL."""
     return F.rpad(F.substring(name, 1, SYMBOL_BYTES), SYMBOL_BYTES, "\0")

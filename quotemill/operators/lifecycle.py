@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import ADD, CANCEL, EXECUTE, REPLACE
+from ..functions.symbols import MOST_SHARDS, hash_text
 from ..plans.storage import importable
 
 UNROUTABLE, NOT_FOUND, DUPLICATE, OVER_EXECUTED = "UnroutableOrderId", "OrderNotFound", "DuplicateOrderId", "ExecutedQuantityExceedsRemaining"
 #: What a message did: one or two changes of a level.
 LEG = "struct<side:int,price:long,d_qty:long,d_count:int>"
-FOLDED = f"arrival_no long, msg_type int, seq_num long, order_id long, new_order_id long, timestamp long, symbol string, error string, legs array<{LEG}>"
-_LEGS = pa.list_(pa.struct([("side", pa.int32()), ("price", pa.int64()), ("d_qty", pa.int64()), ("d_count", pa.int32())]))
+FOLDED = f"arrival_no long, msg_type int, seq_num long, order_id long, new_order_id long, timestamp long, symbol string, shard int, error string, legs array<{LEG}>"
+_LEG = [("side", pa.int32()), ("price", pa.int64()), ("d_qty", pa.int64()), ("d_count", pa.int32())]
 _INPUT = ["arrival_no", "msg_type", "seq_num", "order_id", "new_order_id", "timestamp", "symbol", "side", "price", "quantity"]
 
 
@@ -82,34 +83,48 @@ class Fold:
         return symbol, None, [(side, old_price, -left, -1), (side, price, qty, 1)]
 
 
-def fold(messages: DataFrame, key: str | list[str], *, routed: bool = True, order: str = "arrival_no") -> DataFrame:
-    """One row per message, with its symbol, error and legs. ``key`` must hold lineages whole (see ``with_lineage``)."""
+def _legs_array(ends: list[int], flat: list[tuple]) -> pa.Array:
+    """Legs of all messages as one list array; ``ends``: how many legs there are up to each message."""
+    columns = zip(*flat, strict=True) if flat else ((),) * len(_LEG)
+    items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _LEG, strict=True)], names=[n for n, _ in _LEG])
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), items)
+
+
+def fold(messages: DataFrame, key: str | list[str], *, shards: int = 1, routed: bool = True, order: str = "arrival_no") -> DataFrame:
+    """One row per message, with its symbol, shard, error and legs. ``key`` must hold lineages whole (see ``with_lineage``)."""
     importable(messages.sparkSession)
-    keys = [key] if isinstance(key, str) else key
-    rows = messages.select(*(F.col(c) for c in _INPUT), F.xxhash64(*keys).alias("_key"), F.struct(*keys).alias("_whole"))
-    # The hash orders keys cheaply; the key itself keeps apart those of equal hash.
-    rows = rows.withColumn("_whole", F.to_json("_whole")).repartition("_key").sortWithinPartitions("_key", "_whole", order)
+    if not 1 <= shards <= MOST_SHARDS:
+        raise ValueError(f"shards must be from 1 to {MOST_SHARDS}")
+    names = [key] if isinstance(key, str) else key
+    keys = [f"_key{i}" for i in range(len(names))]
+    rows = messages.select(*(F.col(c) for c in _INPUT), *(F.col(c).alias(k) for c, k in zip(names, keys, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last = Fold(routed), None
+        state, last, home = Fold(routed), None, {None: None}
         for batch in batches:
-            col = {c: batch.column(c).to_pylist() for c in ("msg_type", "order_id", "new_order_id", "symbol", "side", "price", "quantity", "_whole")}
-            symbols, errors, legs = [], [], []
-            for kind, oid, new, symbol, side, price, qty, whole in zip(*col.values(), strict=True):
-                if whole != last:
-                    state, last = Fold(routed), whole
-                s, e, l = state.apply(kind, oid, new, symbol, side, price, qty)
+            col = [batch.column(c).to_pylist() for c in ("msg_type", "order_id", "new_order_id", "symbol", "side", "price", "quantity")]
+            whole = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            symbols, errors, ends, flat = [], [], [], []
+            for now, *message in zip(whole, *col, strict=True):
+                if now != last:
+                    state, last = Fold(routed), now
+                s, e, legs = state.apply(*message)
                 symbols.append(s)
                 errors.append(e)
-                legs.append([{"side": a, "price": b, "d_qty": c, "d_count": d} for a, b, c, d in l])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _INPUT[:6]), pa.array(symbols, pa.string()), pa.array(errors, pa.string()), pa.array(legs, _LEGS)], names=["arrival_no", "msg_type", "seq_num", "order_id", "new_order_id", "timestamp", "symbol", "error", "legs"])
+                flat += legs
+                ends.append(len(flat))
+                if s not in home:
+                    home[s] = hash_text(s) % shards
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _INPUT[:6]), pa.array(symbols, pa.string()), pa.array([home[s] for s in symbols], pa.int32()), pa.array(errors, pa.string()), _legs_array(ends, flat)], names=["arrival_no", "msg_type", "seq_num", "order_id", "new_order_id", "timestamp", "symbol", "shard", "error", "legs"])
 
-    return rows.mapInArrow(run, FOLDED)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, FOLDED)
 
 
 def legs_of(folded: DataFrame) -> DataFrame:
-    """arrival_no, leg, symbol, side, price, d_qty, d_count, seq_num, timestamp: the accepted changes."""
-    return folded.select("arrival_no", "symbol", "seq_num", "timestamp", F.posexplode("legs").alias("leg", "x")).select("arrival_no", "leg", "symbol", "x.side", "x.price", "x.d_qty", "x.d_count", "seq_num", "timestamp")
+    """arrival_no, leg, symbol, side, price, d_qty, d_count, seq_num, timestamp, and shard if it is there: the accepted changes."""
+    shard = [c for c in ("shard",) if c in folded.columns]
+    out = folded.select("arrival_no", "symbol", *shard, "seq_num", "timestamp", F.posexplode("legs").alias("leg", "x"))
+    return out.select("arrival_no", "leg", "symbol", "x.side", "x.price", "x.d_qty", "x.d_count", "seq_num", "timestamp", *shard)
 
 
 def rejects_of(folded: DataFrame) -> DataFrame:

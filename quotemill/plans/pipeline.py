@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import decode
-from ..functions.symbols import add_shard
 from ..operators import gaps as gap_ops
 from ..operators import levels as level_ops
 from ..operators import lifecycle
@@ -23,12 +22,11 @@ class Batch:
     """
 
     folded: DataFrame  # messages with symbol, shard, error, legs
-    shards: int
     undecodable: DataFrame | None = None
 
     def persisted(self) -> Batch:
         """The same with the fold kept; a lost executor's part is computed anew."""
-        return Batch(self.folded.persist(), self.shards, self.undecodable)
+        return Batch(self.folded.persist(), self.undecodable)
 
     @property
     def routed(self) -> DataFrame:
@@ -52,7 +50,7 @@ class Batch:
 
     @property
     def deltas(self) -> DataFrame:
-        return add_shard(level_ops.deltas(self.legs), self.shards)
+        return level_ops.deltas(self.legs)
 
     @property
     def levels(self) -> DataFrame:
@@ -67,7 +65,7 @@ def run_messages(messages: DataFrame, shards: int = 4, key: str | list[str] | No
     """The pipeline over decoded messages. ``key``: a column that holds lineages whole; without one they are searched for."""
     if key is None:
         messages, key = with_lineage(messages), "lineage"
-    return Batch(add_shard(lifecycle.fold(messages, key), shards), shards)
+    return Batch(lifecycle.fold(messages, key, shards=shards))
 
 
 def run_packets(packets: DataFrame, shards: int = 4, key: str | None = None) -> Batch:
@@ -75,4 +73,4 @@ def run_packets(packets: DataFrame, shards: int = 4, key: str | None = None) ->
     decoded = decode(packets.filter(F.col("raw").isNotNull()))
     good = decoded.filter(F.col("decode_error").isNull())
     batch = run_messages(good, shards, key)
-    return Batch(batch.folded, shards, decoded.filter(F.col("decode_error").isNotNull()))
+    return Batch(batch.folded, decoded.filter(F.col("decode_error").isNotNull()))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import ADD, REPLACE
-from ..functions.symbols import add_shard
+from ..functions.symbols import shard_of
 from ..operators.prefix import running
 
-SHARDS = 4
+SHARDS, SYMBOLS = 4, 16
 
 
 def generated(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFrame:
@@ -19,10 +19,11 @@ def generated(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFra
     key = F.regexp_extract("props", r"(\d+)", 1).cast("long")
     base = events.select(
         F.col("event_id").alias("arrival_no"), kind.alias("msg_type"), (F.col("event_id") + 1).alias("own_id"), F.col("user_id").alias("channel"),
-        F.concat(F.lit("SYM"), F.lpad((F.col("user_id") % 16).cast("string"), 2, "0")).alias("feed_symbol"),
+        F.concat(F.lit("SYM"), F.lpad((F.col("user_id") % SYMBOLS).cast("string"), 2, "0")).alias("feed_symbol"),
         (F.col("event_id") % 2).cast("int").alias("feed_side"), (100 + key % 50).alias("feed_price"), (10 + F.col("event_id") % 20).alias("qty"), (1 + F.col("event_id") % 15).alias("exec_qty"),
         (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 1000).alias("timestamp"))
-    base = add_shard(base, shards, "feed_symbol")
+    names = spark.range(SYMBOLS).select(F.concat(F.lit("SYM"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("feed_symbol"))
+    base = base.join(F.broadcast(names.withColumn("shard", shard_of(F.col("feed_symbol"), shards))), "feed_symbol")  # 16 rows
     numbered = running(base, ["shard"], "arrival_no", {"seq_num": ("sum", F.lit(1).cast("long"), True)})
     earlier = Window.partitionBy("channel").orderBy("arrival_no").rowsBetween(Window.unboundedPreceding, -1)
     ref = F.last(F.when(F.col("msg_type").isin(ADD, REPLACE), F.col("own_id")), ignorenulls=True).over(earlier)

@@ -17,21 +17,14 @@ from dataclasses import dataclass, field
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-# The mix of messages (shares of a roll), the wire forms, the hash's start and factor.
+from ..functions.symbols import hash_text
+
+# The mix of messages (shares of a roll), the wire forms.
 ADD_BELOW, CANCEL_BELOW, EXECUTE_BELOW = 0.5, 0.65, 0.85
 WIRE = {1: "<BHQQ8sBqIQ", 2: "<BHQQQ", 3: "<BHQQIQ", 4: "<BHQQQqIQ"}
-HASH_START, HASH_FACTOR = 1469598103934665603, 1099511628211
 SCHEMA = "channel int, arrival_no long, raw binary"
 
 
-def hash_symbol(symbol: str) -> int:
-    """The unsigned 64-bit hash of the padded symbol."""
-    h = HASH_START
-    for b in symbol.encode("latin-1")[:8].ljust(8, b"\0"):
-        h = (h ^ b) * HASH_FACTOR % (1 << 64)
-    return h
-
-
 def encode(kind: int, *fields: int | bytes) -> bytes:
     return struct.pack(WIRE[kind], kind, struct.calcsize(WIRE[kind]), *fields)
 
@@ -56,7 +49,7 @@ class Feed:
         self.random = random.Random(self.seed)
         self.next_id = self.first_id
         self.resting: list[list[int]] = [[] for _ in self.symbols]
-        self.shard = [hash_symbol(s) % self.shards for s in self.symbols]
+        self.shard = [hash_text(s) % self.shards for s in self.symbols]
 
     def _terms(self, oid: int) -> tuple[int, int]:
         return 100 + oid % 50, 10 + oid % 20
