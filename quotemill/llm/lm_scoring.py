@@ -28,7 +28,7 @@ from .substring_dedup import Hashes, _mix
 BACKOFF, UNSEEN = 0.4, 0.5
 ORDER = 2
 #: Bytes of text in a block and behind a range of hashes.
-BLOCK_BYTES, RANGE_BYTES = 6 << 20, 24 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 12 << 20
 
 RESULT = "doc_id long, n_words long, log_score double, mean_log_score double"
 
