@@ -6,6 +6,8 @@ a LONG: they decode to null and the row says so in ``decode_error``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,40 +26,71 @@ FIELDS = {"seq_num": "long", "order_id": "long", "new_order_id": "long", "symbol
 TRUNCATED, BAD_TYPE, BAD_LENGTH, OUT_OF_RANGE = "TruncatedMessage", "InvalidMessageType", "LengthMismatch", "ValueOutOfRange"
 
 
-def _hex(raw: Column, offset: int, size: int) -> Column:
-    """The field's bytes, most significant first, in hex."""
-    digits = F.hex(F.substring(raw, offset + 1, size))
-    return F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
+#: Low halves of all eight bytes.
+_LOW = 0x0F0F0F0F0F0F0F0F
+
+
+def _backwards(raw: Column, offset: Column, size: int) -> Column:
+    """A little-endian field with the halves of its bytes swapped: its hex digits read from the end, as a signed 64-bit number."""
+    return F.conv(F.reverse(F.hex(F.substring(raw, offset + 1, F.lit(size)))), 16, -10).cast("long")
 
 
-def read_field(raw: Column, offset: int, size: int, kind: str) -> Column:
-    """One field: u unsigned, i signed 64-bit, s text up to the first NUL."""
-    if kind == "s":
-        return symbol_view(F.decode(F.substring(raw, offset + 1, size), "ISO-8859-1"))
-    return F.conv(_hex(raw, offset, size), 16, -10 if kind == "i" else 10).try_cast("long")
+def _unswapped(x: Column) -> Column:
+    """The halves of all bytes swapped back."""
+    return F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(F.lit(_LOW)))
 
 
-def decode_error(raw: Column) -> Column:
-    """Null, or what is wrong, in the order of the checks: header, type, declared length, bytes at hand."""
-    kind, declared = read_field(raw, 0, 1, "u"), read_field(raw, 1, 2, "u")
-    right = F.coalesce(*(F.when(kind == t, F.lit(n)) for t, n in SIZES.items()))
-    have = F.octet_length(raw)
-    return (F.when(raw.isNull() | (have < 3), TRUNCATED).when(right.isNull(), BAD_TYPE).when(declared != right, BAD_LENGTH).when(have < right, TRUNCATED))
+def _then(rows: Column, step: Callable[[Column], dict[str, Column]]) -> Column:
+    """One more step over an array of structs: what the step makes of each."""
+    return F.transform(rows, lambda x: F.struct(*(c.alias(n) for n, c in step(x).items())))
 
 
 def decode(packets: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds msg_type, the fields (null where a type has none) and decode_error; bytes after a message are ignored.
 
-    Lost packets (null) should be filtered out first; a null decodes as truncated.
+    Lost packets (null) should be filtered out first; a null decodes as truncated. Each step binds its values once, in a lambda over an array of one,
+    and ``inline`` keeps filters on the result above it. As plain projections the steps would be inlined into each other, over the size that Spark compiles.
     """
-    error = decode_error(F.col(raw))
-    kind = read_field(F.col(raw), 0, 1, "u")
-    out = packets.withColumn("decode_error", error).withColumn("msg_type", F.when(F.col("decode_error").isNull(), kind).cast("int"))
-    for name, type_ in FIELDS.items():
-        by_type = [F.when(F.col("msg_type") == t, read_field(F.col(raw), *spec[1:])) for t, fields in LAYOUT.items() for spec in fields if spec[0] == name]
-        out = out.withColumn(name, F.coalesce(*by_type).cast(type_))
-    unsigned = F.col("seq_num").isNull() | F.col("order_id").isNull() | F.col("timestamp").isNull() | ((F.col("msg_type") == REPLACE) & F.col("new_order_id").isNull())
-    return out.withColumn("decode_error", F.when(F.col("decode_error").isNull() & unsigned, OUT_OF_RANGE).otherwise(F.col("decode_error"))).drop(raw)
+    numbers, signed = {}, set()
+    for name in FIELDS:
+        found = {t: spec for t, layout in LAYOUT.items() for spec in layout if spec[0] == name}
+        width, how = next(iter(found.values()))[2:]
+        numbers[name] = ({t: spec[1] for t, spec in found.items()}, width, how)
+        if how == "i":
+            signed.add(name)
+
+    def by_type(kind: Column, values: dict) -> Column:
+        return F.coalesce(*(F.when(kind == t, F.lit(v)) for t, v in values.items()))
+
+    def head(x: Column) -> dict[str, Column]:
+        digits = F.hex(F.substring(x, 1, 3))
+        return {"r": x, "t": F.conv(F.substring(digits, 1, 2), 16, 10).cast("int"), "declared": F.conv(F.concat(F.substring(digits, 5, 2), F.substring(digits, 3, 2)), 16, 10).cast("int"), "have": F.octet_length(x)}
+
+    def check(x: Column) -> dict[str, Column]:
+        size = by_type(x["t"], SIZES)
+        error = F.when(x["r"].isNull() | (x["have"] < 3), TRUNCATED).when(size.isNull(), BAD_TYPE).when(x["declared"] != size, BAD_LENGTH).when(x["have"] < size, TRUNCATED)
+        return {"r": x["r"], "t": x["t"], "error": error}
+
+    def read(x: Column) -> dict[str, Column]:
+        kind = F.when(x["error"].isNull(), x["t"])
+        out = {"error": x["error"], "t": kind}
+        for name, (offsets, width, how) in numbers.items():
+            at = by_type(kind, offsets)
+            out[name] = F.when(at.isNotNull(), symbol_view(F.decode(F.substring(x["r"], at + 1, F.lit(width)), "ISO-8859-1")) if how == "s" else _backwards(x["r"], at, width))
+        return out
+
+    def turn(x: Column) -> dict[str, Column]:
+        return {"error": x["error"], "msg_type": x["t"]} | {n: x[n] if how == "s" else _unswapped(x[n]) for n, (_, _, how) in numbers.items()}
+
+    def finish(x: Column) -> dict[str, Column]:
+        fits = {n: x[n] if how == "s" or n in signed else F.when(x[n] >= 0, x[n]) for n, (_, _, how) in numbers.items()}
+        big = (x["seq_num"] < 0) | (x["order_id"] < 0) | (x["timestamp"] < 0) | ((x["msg_type"] == REPLACE) & (x["new_order_id"] < 0))
+        return {"decode_error": F.when(big, OUT_OF_RANGE).otherwise(x["error"]), "msg_type": x["msg_type"]} | {n: c.cast(FIELDS[n]) for n, c in fits.items()}
+
+    rows = F.transform(F.array(raw), lambda x: F.struct(*(c.alias(n) for n, c in head(x).items())))
+    for step in (check, read, turn, finish):
+        rows = _then(rows, step)
+    return packets.select(*(c for c in packets.columns if c != raw), F.inline(rows))
 
 
 def _little_endian(value: Column, size: int) -> Column:
