@@ -145,6 +145,11 @@ def resting_orders(folded: DataFrame) -> DataFrame:
     return total.filter("n > 0").select("order_id", "symbol", "last.side", "last.price", "remaining", F.struct("last.arrival_no", "last.leg").alias("entered"))
 
 
+def has_order(resting: DataFrame, ids: DataFrame, id_col: str = "order_id") -> DataFrame:
+    """The ids that rest in some book."""
+    return ids.join(resting.select(F.col("order_id").alias("_resting")), F.col(id_col) == F.col("_resting"), "left_semi")
+
+
 def order_lifecycle(folded: DataFrame) -> DataFrame:
     """order_id, fills, executed, final_state of every order accepted (over all its lives, if its id is reused)."""
     leg = folded.filter("error is null").select("arrival_no", "msg_type", "order_id", "new_order_id", F.posexplode("legs").alias("leg", "x"))

@@ -170,3 +170,5 @@ ORACLE_SQL: dict[str, str] = {
 
 ORACLE_SQL["stream_best_bid_ask"] = ORACLE_SQL["best_bid_ask"]
 ORACLE_SQL["stream_gap_summary"] = ORACLE_SQL["gap_summary"]
+ORACLE_SQL["has_order"] = FOLD + _END + "SELECT id AS order_id FROM legs GROUP BY 1 HAVING sum(d_count) > 0"
+ORACLE_SQL["shard_states"] = PLAIN + "SELECT count(DISTINCT shard) AS shards, count(DISTINCT shard) FILTER (kind = 'Gap') AS shards_with_gaps, count(DISTINCT shard) FILTER (stale) AS shards_stale FROM classified"

@@ -172,6 +172,14 @@ def resting_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.queue_positions(batch(spark, sf_dir).resting)
 
 
+@query
+def has_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that were ever added or replaced into, and still rest."""
+    sent = events_feed.messages(spark, sf_dir)
+    ids = sent.select(F.when(F.col("msg_type") == codec.ADD, F.col("order_id")).when(F.col("msg_type") == codec.REPLACE, F.col("new_order_id")).alias("order_id")).filter("order_id is not null")
+    return lifecycle.has_order(batch(spark, sf_dir).resting, ids)
+
+
 @query
 def order_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.order_lifecycle(batch(spark, sf_dir).folded)
@@ -209,6 +217,13 @@ def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.gap_summary(gaps.classify(_observed(spark, sf_dir)))
 
 
+@query
+def shard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many shards saw messages, gaps, and are stale."""
+    each = gaps.gap_summary(gaps.classify(_observed(spark, sf_dir)))
+    return each.agg(F.count(F.lit(1)).alias("shards"), F.count_if(F.col("gaps_total") > 0).alias("shards_with_gaps"), F.count_if("stale").alias("shards_stale"))
+
+
 @query
 def gap_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose number leaves 7 when divided by 499 stand for resynchronisations to two before them."""
