@@ -160,10 +160,12 @@ def hex_of(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest doc_id, ties by a hash of the row."""
-    tag, own_id, own_tag = (free_name(docs.columns, x) for x in ("row_tag", "kept_id", "kept_tag"))
+    tag, key, own_key, own_tag = (free_name(docs.columns, x) for x in ("row_tag", "row_key", "kept_key", "kept_tag"))
     whole = F.xxhash64(*(docs[c] for c in docs.columns))
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, most=most, extra={"tag": whole})
-    # Rows that have no id lose to any other.
-    best = groups.groupBy("grouped").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")).select(F.col("best.doc_id").alias(own_id), F.col("best.tag").alias(own_tag))
-    kept = docs.withColumn(tag, whole).join(best, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tag) == F.col(own_tag))).drop(own_id, own_tag)
-    return kept.dropDuplicates([id_col, tag]).drop(tag)
+    # Rows that have no id lose to any other; a hash stands for "no id", and the tag tells rows apart.
+    key_of = lambda c: F.xxhash64(c.cast("long"))
+    best = groups.groupBy("grouped").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")).select(key_of(F.col("best.doc_id")).alias(own_key), F.col("best.tag").alias(own_tag))
+    # Join and distinct use the same two columns, so texts are shuffled once.
+    kept = docs.withColumn(tag, whole).withColumn(key, key_of(F.col(id_col))).join(best, (F.col(key) == F.col(own_key)) & (F.col(tag) == F.col(own_tag))).drop(own_key, own_tag)
+    return kept.dropDuplicates([key, tag]).drop(key, tag)
