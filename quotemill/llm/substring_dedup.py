@@ -199,12 +199,18 @@ def _sorted_buckets(packed: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        seen: set[int] = set()  # contents of this bucket: repeated rows of documents send them again
         size, last = 0, None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "doc", "packed")), strict=True):
-                if size > 1 << 20 and row[0] != last:  # a bucket stays whole
-                    yield solve(held)
-                    held, size = [], 0
+                if row[0] != last:
+                    seen.clear()
+                    if size > 1 << 20:  # a bucket stays whole
+                        yield solve(held)
+                        held, size = [], 0
+                elif row[1] in seen:
+                    continue
+                seen.add(row[1])
                 held.append(row)
                 size += len(row[3])
                 last = row[0]
@@ -232,8 +238,8 @@ def _spread_buckets(packed: DataFrame, window: int) -> DataFrame:
     windows = packed.mapInArrow(run, "key long, content long, doc long, i long, h1 long, h2 long")
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"))
     found = windows.join(least, ["h1", "h2"])
-    # A content has LONGEST windows at most.
-    per = found.groupBy("key", "content").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("w"))
+    # A content has LONGEST windows at most; a set, as repeated rows of documents send it again.
+    per = found.groupBy("key", "content").agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("w"))
 
     def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

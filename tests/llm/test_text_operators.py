@@ -95,6 +95,22 @@ def test_substring_dedup_odd(odd, none):
     assert substring_dedup.dedup_report(none).count() == 0 and substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 8192])
+def test_substring_dedup_repeated_rows(spark, most):
+    r = random.Random(9)
+    phrases = [[r.choice("abcdefgh") for _ in range(r.randint(15, 40))] for _ in range(4)]
+    rows = []
+    for d in range(30):
+        t = [r.choice("abcdefgh") for _ in range(r.randint(0, 20))] + r.choice(phrases) + [r.choice("abcdefgh") for _ in range(r.randint(0, 40))]
+        rows += [(None if d % 7 == 6 else d, " ".join(t))] * r.randint(1, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup_report(docs, window=12, minimiser=3, most=most).collect()
+    assert Counter(tuple(x) for x in got) == brute_dedup(rows, 12)
+    odd = [x for x in odd_rows() for _ in range(2)]
+    got = substring_dedup.dedup_report(spark.createDataFrame(odd, "doc_id long, text string"), most=most).collect()
+    assert Counter(tuple(x) for x in got) == brute_dedup(odd, 50)
+
+
 # ---- 2 ----
 
 def test_packing_pattern_counts():
