@@ -3,8 +3,11 @@
 A page is cut into blocks at block-level tags. Pass 1 decides blocks alone: what stands in menus, headers, footers, sidebars,
 notices, adverts, forms or comments (by element, role, class or id) or is mostly links is bad; long blocks dense in stop words are good; those
 without stop words that hold links are bad; the others, short or in between, are ambiguous. Pass 2 gives ambiguous blocks the label of the nearest decided
-neighbours: that of both where they agree, else good if the block is close to good, or stands nearer to a good one. If the page marks its article
-(article, main, or the like), only blocks inside it can be good, and there ambiguous blocks are.
+neighbours: that of both where they agree, else good if the block is close to good, or stands nearer to a good one.
+
+Both passes run on every page. If the page marks its article (article, main, or the like), that is evidence: inside, blocks that are close
+to good are good, links and lack of stop words make a block ambiguous rather than bad unless nearly all is links, and the mark's edge counts as a good neighbour; outside, long blocks dense
+in stop words are still good, but ambiguous ones only between good ones.
 
 Good blocks are joined in page order by a newline; character references are decoded, white space within a block becomes one space.
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,42 +168,54 @@ def stop_density(text: str) -> float:
     return max(sum(w in stops for w in words) for stops in _STOPS.values()) / len(words) if words else 0.0
 
 
-def _alone(b: Block, least: int) -> int:
+def _standing(b: Block, least: int) -> int:
+    """1: in what the page marks as its article; -1: on such a page, but in nothing of the kind; 0: neither."""
+    return 0 if not least else 1 if b.inside == least else -1 if not b.inside else 0
+
+
+def _alone(b: Block, standing: int) -> int:
     """Pass 1."""
-    if b.barred or b.inside < least:
+    if b.barred:
         return BAD
     density = b.links / len(b.text)
-    if least:
-        return BAD if density > 0.8 and len(b.text) < LONG else GOOD if len(b.text) >= SHORT else BRIEF
     if density > MOST_LINKS:
-        return BAD
+        return BRIEF if standing > 0 and density <= 0.8 else BAD
     if len(b.text) < SHORT:
-        return BAD if density > 0.2 else BRIEF
+        return BAD if density > 0.2 and standing <= 0 else BRIEF
     stops = stop_density(b.text)
     if stops >= STOP_HIGH:
-        return GOOD if len(b.text) > LONG else NEAR
+        return GOOD if len(b.text) > LONG or standing > 0 else NEAR
+    if stops >= STOP_LOW:
+        return GOOD if standing > 0 else NEAR
     if b.links:
-        return NEAR if stops >= STOP_LOW else BAD
-    return NEAR if stops >= STOP_LOW or len(b.text) > LONG else BRIEF
+        return BRIEF if standing > 0 else BAD
+    return NEAR if len(b.text) > LONG else BRIEF
 
 
 def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks belong to the article."""
     least = max((b.inside for b in blocks if not b.barred), default=0)
-    first = [_alone(b, least) for b in blocks]
-    # What is barred by its place says nothing about its neighbours.
+    stands = [_standing(b, least) for b in blocks]
+    first = [_alone(b, s) for b, s in zip(blocks, stands, strict=True)]
+    # What is barred by its place says nothing about its neighbours, nor does what is bad outside the marked article about what is inside.
     decided = [(i, x) for i, x in enumerate(first) if x in (GOOD, BAD) and not blocks[i].barred]
-    out, k = [], 0
+    marked = [(i, x) for i, x in decided if stands[i] > 0 or x == GOOD]
+    out = []
     for i, label in enumerate(first):
-        while k < len(decided) and decided[k][0] < i:
-            k += 1
         if label in (NEAR, BRIEF):
-            x, dx = (decided[k - 1][1], i - decided[k - 1][0]) if k else (None, 0)
-            y, dy = (decided[k][1], decided[k][0] - i) if k < len(decided) else (None, 0)
-            if least or (x is None and y is None):
+            known = marked if stands[i] > 0 else decided
+            k = bisect_left(known, (i, 0))
+            x, dx = (known[k - 1][1], i - known[k - 1][0]) if k else (None, 0)
+            y, dy = (known[k][1], known[k][0] - i) if k < len(known) else (None, 0)
+            if stands[i] < 0:  # outside the mark, only what good blocks enclose
+                label = GOOD if x == y == GOOD else BAD
+            elif x is None and y is None:
                 label = GOOD
             elif x is None or y is None or x == y:
                 label = x if x is not None else y
+                # The edge of the marked article is a good neighbour, except to a heading of what is bad.
+                if stands[i] > 0 and label == BAD and (x is None or y is None) and not (blocks[i].heading and y == BAD):
+                    label = GOOD
             elif label == NEAR:
                 label = GOOD
             elif blocks[i].heading:  # a heading goes with what follows

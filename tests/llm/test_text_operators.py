@@ -193,6 +193,19 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_rules_hold_on_marked_pages():
+    dense = "It was the best of the times and it was the worst of them, as they had said to us in the house by the river. " * 4
+    body = [f"{dense}{i}" for i in range(3)]
+    # A small marked block does not discard the body, wherever that stands.
+    for tag in ("<div>", '<div class="content">', "<section>"):
+        page = f"{tag}{''.join(f'<p>{x}</p>' for x in body)}</{tag[1:].split()[0].strip('>')}><article><p>A teaser of some other piece.</p></article>"
+        assert [" ".join(x.split()) for x in body] == html_extract.extract(page).split("\n")[:3]
+    # Link density and neighbours decide inside the mark too.
+    links = "".join(f'<p><a href="{i}">Another piece of the site, number {i}</a></p>' for i in range(3))
+    page = f"<article><p>{dense}</p><p>Brief.</p><p>{dense}</p>{links}<p>More of it</p>{links}</article><p>Outside</p>"
+    assert html_extract.extract(page).split("\n") == [dense.strip(), "Brief.", dense.strip()]
+
+
 # ---- 5 ----
 
 def brute_lm(rows):
