@@ -21,7 +21,7 @@ component has no other id. Repeated rows and tied ids stay as they are. Further
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -158,11 +158,14 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """One document of each group, with all its columns: the one of the smallest doc_id, ties by a hash of the row."""
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouping: Callable[..., DataFrame] = near_duplicates, **options: float) -> DataFrame:
+    """One document of each group, with all its columns: the one of the smallest doc_id, ties by a hash of the row.
+
+    ``grouping``: what finds the groups, with its options.
+    """
     tag, key, own_key, own_tag = (free_name(docs.columns, x) for x in ("row_tag", "row_key", "kept_key", "kept_tag"))
     whole = F.xxhash64(*(docs[c] for c in docs.columns))
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, most=most, extra={"tag": whole})
+    groups = grouping(docs, id_col=id_col, text_col=text_col, extra={"tag": whole}, **options)
     # Rows that have no id lose to any other; a hash stands for "no id", and the tag tells rows apart.
     key_of = lambda c: F.xxhash64(c.cast("long"))
     best = groups.groupBy("grouped").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")).select(key_of(F.col("best.doc_id")).alias(own_key), F.col("best.tag").alias(own_tag))

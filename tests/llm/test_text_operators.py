@@ -300,6 +300,33 @@ def test_simhash_links(spark, most):
     assert {frozenset(x) for x in by.values()} == {frozenset(x) for x in want.values()}
 
 
+@pytest.mark.parametrize("most", [12, 2])
+def test_near_copies_of_edited_texts(spark, none, most):
+    from quotemill.llm import near_copies
+
+    r = random.Random(4)
+    rows = []
+    for _ in range(8):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(150, 300))]
+        for k in range(r.randint(1, 6)):
+            w = list(base)
+            for _ in range(k and r.randint(1, 8)):
+                w[r.randrange(len(w))] = f"x{r.randrange(3000)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, "one two", "One  two", "a b c d e f"])] + [rows[0], (None, rows[0][1])]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for _, t in rows for w in [words((t or "").lower())]]
+    group = reach(set(sets), lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash_dedup.keep_one(docs, grouping=near_copies.near_copies, most=most)
+    want = {}
+    for (i, _), x in zip(rows, sets, strict=True):
+        if i is not None:
+            want[group[x]] = min(want.get(group[x], i), i)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(want.values())
+    assert len(want) < simhash_dedup.keep_one(docs).count()  # 3 words and 3 bits leave edited copies
+    assert simhash_dedup.keep_one(none, grouping=near_copies.near_copies).count() == 0
+
+
 # ---- 7 ----
 
 def brute_quality(text):
