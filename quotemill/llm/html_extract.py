@@ -12,7 +12,7 @@ in stop words are still good, but ambiguous ones only between good ones.
 Good blocks are joined in page order by a newline; character references are decoded, white space within a block becomes one space.
 
 Edge cases: null and empty pages give an empty text; so do pages without a good block. Markup that is cut off or not closed is read as far as it goes. Very long
-pages are worked on whole. Repeated rows and tied ids stay as they are. Further columns do not matter; an empty table gives no rows.
+pages are worked on whole, in time that follows their length, however broken. Repeated rows and tied ids stay as they are. Further columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +48,15 @@ BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsen
 HEADER_NAMES = frozenset("header head".split())
 MAIN_NAMES = frozenset("articlebody articlecontent articletext postbody postcontent entrycontent storybody maincontent bodycontent article post entry story content main".split())
 
-_NOT_TEXT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg|math|select|button|object|audio|video|canvas|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z")
+#: Elements whose content is not markup, up to their end tag or the page's end; others whose content is no part of a text, if they are closed.
+RAW_ELEMENTS = frozenset("script style title textarea iframe noframes".split())
+DROPPED_ELEMENTS = frozenset("noscript template svg math select button object audio video canvas".split())
+
+_MARK = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|!\[CDATA\[|[!?/])")
+_STOP, _ANGLE = re.compile("[>\"']"), re.compile("[<>]")
+_CLOSERS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_ELEMENTS | DROPPED_ELEMENTS}
+#: Numbers of character references that are too long for a code point, and zeros before one.
+_HUGE, _ZEROS = re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?"), re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
@@ -95,69 +103,155 @@ def _region(tag: str, attrs: str, barred: bool, inside: int) -> tuple[bool, int]
     return barred, inside
 
 
+class Tags:
+    """Where tags end. Quoted values may hold any sign; each part of the page is searched a bounded number of times, whatever stands in it."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.stop = -1  # the next > or quote, from the last tag on
+        self.after: dict[int, int] = {}  # opening quote: the end of the tag that it is in, or -1
+
+    def _next(self, at: int) -> int:
+        m = _STOP.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+    def end(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``, or -1; ``at`` must not go back."""
+        page, passed, out = self.page, [], -1
+        if self.stop < at:
+            self.stop = self._next(at)
+        p = self.stop
+        while p < len(page):
+            if page[p] == ">":
+                out = p + 1
+                break
+            if p in self.after:
+                out = self.after[p]
+                break
+            passed.append(p)
+            q = page.find(page[p], p + 1)
+            if q < 0:
+                break
+            p = self._next(q + 1)
+        for p in passed:
+            self.after[p] = out
+        if out < 0 and (m := _ANGLE.search(page, at)) and m.group() == ">":  # a quote is never closed
+            out = m.end()
+        return out
+
+
+def pieces_of(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text, closing, tag, attributes) in page order: a text, or a tag with an empty text. Comments, scripts and the like are left out."""
+    tags, at, unclosed = Tags(page), 0, set()
+    search = _MARK.search
+    start = 0  # of the text that has not been given out
+    while m := search(page, at):
+        tag, end = (m[2] or "").lower(), -1
+        if tag:
+            end = tags.end(m.end())
+            if end < 0 and not m[1] and _ANGLE.search(page, m.end()):  # no tag, but a sign
+                at = m.end()
+                continue
+        elif m.group() in ("<!--", "<![CDATA["):
+            close = "-->" if m.group() == "<!--" else "]]>"
+            end = page.find(close, m.end()) + len(close)
+            end = -1 if end < len(close) else end
+        if end < 0:  # cut off, or a declaration
+            end = page.find(">", m.end()) + 1 if not tag and m.group() not in ("<!--", "<![CDATA[") or m[1] else 0
+            end = end or len(page)
+        if m.start() > start:
+            yield page[start : m.start()], False, "", ""
+        attrs = page[m.end() : end - 1]
+        if tag and not m[1] and tag in _CLOSERS:
+            close = None if tag in unclosed or (tag in DROPPED_ELEMENTS and attrs.endswith("/")) else _CLOSERS[tag].search(page, end)
+            if close:
+                end = close.end()
+            elif tag in RAW_ELEMENTS:
+                end = len(page)
+            else:
+                unclosed.add(tag)
+        elif tag:
+            yield "", bool(m[1]), tag, attrs
+        at = start = end
+    if start < len(page):
+        yield page[start:], False, "", ""
+
+
+def decoded(text: str) -> str:
+    """Character references decoded."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _HUGE.sub("�", _ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
+class Opened:
+    """The containers that are open, with what stood before each. Closing one takes time for those that it closes only."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, tag: str, barred: bool, inside: int) -> None:
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, barred, inside))
+
+    def last(self, *tags: str) -> int:
+        """The innermost of these, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, k: int) -> tuple[bool, int]:
+        """Closes the container k and all in it: (barred, inside) as before it."""
+        _, barred, inside = self.stack[k]
+        while len(self.stack) > k:
+            self.at[self.stack.pop()[0]].pop()
+        return barred, inside
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text."""
-    page = _NOT_TEXT.sub("", page)
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    opened = Opened()
     barred, inside = False, 0
-    own = heading = False  # the leaf block's own state
+    own = heading = link = False  # the leaf block's own state
     text: list[str] = []
-    links = link = 0
+    links = 0
 
     def close() -> None:
         nonlocal links
-        joined = " ".join(html.unescape("".join(text)).split())
+        joined = " ".join("".join(text).split())
         if joined:
             out.append(Block(joined, min(links, len(joined)), barred or own, inside, heading))
         text.clear()
         links = 0
 
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            if link:
-                links += len(" ".join(html.unescape(piece).split()))
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for piece, closing, tag, attrs in pieces_of(page):
         if not tag:
+            text.append(decoded(piece))
+            if link:
+                links += len(" ".join(text[-1].split()))
             continue
         if tag == "br" or tag == "hr":
             text.append(" ")
         if tag == "a":
-            link = 0 if m[1] else 1
+            link = not closing
         if tag not in BLOCKS:
             continue
         close()
-        link = 0
-        own, heading = False, False
+        own = heading = link = False
         if tag in CONTAINERS:
-            if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        _, barred, inside = stack[k]
-                        del stack[k:]
-                        break
-            elif not m[3].rstrip().endswith("/"):
-                if tag == "li":  # may be left open
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in ("ul", "ol", "menu"):
-                            break
-                        if stack[k][0] == "li":
-                            _, barred, inside = stack[k]
-                            del stack[k:]
-                            break
-                stack.append((tag, barred, inside))
-                barred, inside = _region(tag, m[3], barred, inside)
-        elif not m[1]:
-            own = "=" in m[3] and _region(tag, m[3], False, inside)[0]
+            if closing:
+                if (k := opened.last(tag)) >= 0:
+                    barred, inside = opened.close(k)
+            elif not attrs.rstrip().endswith("/"):
+                if tag == "li" and (k := opened.last("li")) > opened.last("ul", "ol", "menu"):  # may be left open
+                    barred, inside = opened.close(k)
+                opened.push(tag, barred, inside)
+                barred, inside = _region(tag, attrs, barred, inside)
+        elif not closing:
+            own = "=" in attrs and _region(tag, attrs, False, inside)[0]
             heading = tag[0] == "h" and tag[1:].isdigit()
-    if at < len(page):
-        text.append(page[at:])
-        if link:
-            links += len(" ".join(html.unescape(page[at:]).split()))
     close()
     return out
 
@@ -192,6 +286,12 @@ def _alone(b: Block, standing: int) -> int:
     return NEAR if len(b.text) > LONG else BRIEF
 
 
+def passes(blocks: list[Block]) -> list[str]:
+    """What decides each block: ``place`` (it is barred by where it stands), ``alone`` (pass 1) or ``neighbours`` (pass 2)."""
+    least = max((b.inside for b in blocks if not b.barred), default=0)
+    return ["place" if b.barred else "neighbours" if _alone(b, _standing(b, least)) in (NEAR, BRIEF) else "alone" for b in blocks]
+
+
 def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks belong to the article."""
     least = max((b.inside for b in blocks if not b.barred), default=0)
