@@ -1,7 +1,8 @@
 """Benchmark decontamination 8: BM25 over an inverted index of test items, searched by block-max WAND.
 
-Every training passage (two cells of ``cell`` words, a cell at least as long as the longest item, so that no run of an item's
-length is split) is a query; all items whose BM25 score reaches ``threshold`` are retrieved. Scores are divided
+Every training passage (two cells of words) is a query; all items whose BM25 score reaches ``threshold`` are retrieved. Cells are
+as long as the item's own length class (``LEAST_CELL`` words, doubled until the item fits), so that no run of an item's length is split, and which other items there are changes
+no verdict: an index holds items of one class. Scores are divided
 by the item's score for itself, so the threshold means a share of an item's weight. Impacts are fixed at indexing.
 
 Block-max WAND (Ding and Suel 2011): postings are in blocks of consecutive items with the largest impact of each;
@@ -12,11 +13,11 @@ to an item of the block, and leaves out passages whose blocks all stay below the
 A retrieved pair is verified: at least 0.8 of the item's 5-word shingles occur in the passage, and 0.8 of
 the words of its answer, its last sentence (of one that has only one: its last third).
 
-The index has a bounded size: items are taken in runs of at most ``most_words`` words, each a pass of its own over the documents. Document
-frequencies come from all items by an aggregation, so runs change no score.
+Indexes have a bounded size: items are taken in runs of at most ``most_words`` words (or one item), each a pass of its own over the documents, and
+only one run is with the executors at a time. Document frequencies come from all items by an aggregation, so runs change no score.
 
 Edge cases: null and empty texts, of documents or items, match nothing; an item of fewer than 5 words is one shingle. Equal items are all
-found. Ties do not matter, as nothing is ranked or cut off. Repeated rows get equal results; a null doc_id is
+found. Ties do not matter, as nothing is ranked or cut off. Very long texts are searched whole, passage by passage. Repeated rows get equal results; a null doc_id is
 returned as null. Further columns do not matter; empty tables give no rows.
 """
 
@@ -24,21 +25,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import shared, steps, unshare
 
 THRESHOLD, SHINGLE, OVERLAP = 0.6, 5, 0.8
 K1, B = 1.2, 0.75
-#: Items of a block; words of items in one index.
-BLOCK, MOST_WORDS = 8, 1_000_000
+#: Items of a block; words of items in one run of indexes; words of the shortest cells.
+BLOCK, MOST_WORDS, LEAST_CELL = 8, 1_000_000, 64
 _PUNCTUATION = bytes.maketrans(bytes(x for x in range(128) if not chr(x).isalnum()), b" " * sum(not chr(x).isalnum() for x in range(128)))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -68,12 +70,13 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
 
 @dataclass
 class Index:
-    """An inverted index of items with impacts and block maxima."""
+    """An inverted index of items of one length class, with impacts and block maxima."""
 
     items: list[tuple[int, list[bytes], list[bytes]]]  # id, words, answer
     weights: list[dict[bytes, float]]  # of each item, shares of its own score
     threshold: float
     block: int = BLOCK
+    cell: int = LEAST_CELL
     terms: dict[bytes, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float]]] = field(default_factory=list)
 
@@ -92,7 +95,6 @@ class Index:
             for n, x in zip(at, xs, strict=True):
                 best[n // self.block] = max(best.get(n // self.block, 0.0), x)
             self.blocks.append(best)
-        self.longest = max((len(w) for _, w, _ in self.items), default=1)
         # Frequent terms are left out of the vectorised pass as long as no item gets over half the threshold from them.
         mass = np.zeros(len(self.items))
         self.rare = np.ones(len(self.postings), bool)
@@ -167,12 +169,12 @@ class Index:
             live = [i for i in live if cursor[i] < len(lists[i][0])]
         return out
 
-    def matches(self, texts: list[str | None], cell: int) -> list[tuple[int, int, float, float, float, int]]:
-        """(row, item number, score, item overlap, answer overlap, passage): the best passage of each verified pair."""
-        get = self.terms.get
-        per = [normal_words(t) for t in texts]
-        counts = np.fromiter(map(len, per), np.int64, len(per))
-        term = np.fromiter((get(w, -1) for ws in per for w in ws), np.int64, int(counts.sum()))
+    def matches(self, per: list[list[bytes]], counts: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
+        """(row, item number, score, item overlap, answer overlap, passage): the best passage of each verified pair.
+
+        ``per``: the words of each text, ``counts``: how many; ``term``: the numbers of all words, -1 where not indexed.
+        """
+        get, cell = self.terms.get, self.cell
         # Passage k of a document covers its cells k and k + 1.
         cells = np.maximum(1, -(-counts // cell))
         base = np.cumsum(cells) - cells
@@ -204,12 +206,46 @@ class Index:
         return [(r, item, score, whole, answer, k) for (r, item), (whole, score, answer, k) in best.items()]
 
 
+@dataclass
+class Run:
+    """Indexes that go over the documents together, a length class each."""
+
+    indexes: list[Index]
+
+    def __post_init__(self) -> None:
+        self.terms: dict[bytes, int] = {}
+        for index in self.indexes:
+            for term in index.terms:
+                self.terms.setdefault(term, len(self.terms))
+        # The number that a term of the run has in each index.
+        self.own = []
+        for index in self.indexes:
+            own = np.full(len(self.terms) + 1, -1, np.int64)
+            own[[self.terms[t] for t in index.terms]] = list(index.terms.values())
+            self.own.append(own)
+
+    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int | None, float, float, float, int]]:
+        """(row, item id, score, item overlap, answer overlap, passage) of each verified pair."""
+        get = self.terms.get
+        per = [normal_words(t) for t in texts]
+        counts = np.fromiter(map(len, per), np.int64, len(per))
+        term = np.fromiter((get(w, -1) for ws in per for w in ws), np.int64, int(counts.sum()))
+        for index, own in zip(self.indexes, self.own, strict=True):
+            for r, n, *rest in index.matches(per, counts, own[term]):
+                yield r, index.items[n][0], *rest
+
+
+def length_class(words: list[bytes], least: int = LEAST_CELL) -> int:
+    """The cell that an item of these words fits in."""
+    return least << max(0, -(-len(words) // least) - 1).bit_length()
+
+
 def shingles_of(words: list[bytes], size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, most_words: int = MOST_WORDS, block: int = BLOCK) -> Iterator[Index]:
-    """The indexes over all items, each of a bounded size; BM25 statistics are those of all items."""
+def runs(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, most_words: int = MOST_WORDS, block: int = BLOCK) -> Iterator[Run]:
+    """The indexes over all items, in runs of a bounded size; BM25 statistics are those of all items."""
     rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,62 +273,73 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
         own = sum(raw.values())
         return {w: x / own for w, x in raw.items()}
 
-    held: list[tuple[int, list[bytes], list[bytes]]] = []
-    weights: list[dict[bytes, float]] = []
+    def run_of(held: dict[int, list[tuple]]) -> Run:
+        return Run([Index([x[0] for x in of], [x[1] for x in of], threshold, block, cell) for cell, of in sorted(held.items())])
+
+    held: dict[int, list[tuple]] = defaultdict(list)
     size = 0
-    for r in ordered.toLocalIterator():
+    for r in ordered.toLocalIterator():  # a run at a time
         words = [bytes(w) for w in r["words"]]
-        held.append((r["item"], words, [bytes(w) for w in r["answer"]]))
-        weights.append(weigh(words, {bytes(k): v for k, v in r["df"].items()}))
+        held[length_class(words)].append(((r["item"], words, [bytes(w) for w in r["answer"]]), weigh(words, {bytes(k): v for k, v in r["df"].items()})))
         size += len(words)
         if size >= most_words:
-            yield Index(held, weights, threshold, block)
-            held, weights, size = [], [], 0
+            yield run_of(held)
+            held, size = defaultdict(list), 0
     if held:
-        yield Index(held, weights, threshold, block)
-
-
-def _cell(index: Index) -> int:
-    return max(64, index.longest)
+        yield run_of(held)
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """One row of ``FOUND`` for each document and item that it holds. No shuffle of documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for index in indexes(items, **options):
-        sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+    def found(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in steps(batches, "text"):
                 ids = part.column("doc_id").to_pylist()
-                got = index.matches(part.column("text").to_pylist(), _cell(index))
-                if got:
-                    cols = zip(*((ids[r], index.items[n][0], score, whole, answer, k) for r, n, score, whole, answer, k in got), strict=True)
+                if got := [(ids[r], *rest) for r, *rest in sent.value.matches(part.column("text").to_pylist())]:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "item_overlap", "answer_overlap", "passage"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "item_overlap", "answer_overlap", "passage"])
+
+        return rows.mapInArrow(run, FOUND)
 
-        some = rows.mapInArrow(run, FOUND)
+    out = None
+    for some in _one_at_a_time(spark, items, options, found, "leaks"):
         out = some if out is None else out.unionByName(some)
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
+def _one_at_a_time(spark: SparkSession, items: DataFrame, options: dict, step: Callable[[Broadcast], DataFrame], name: str) -> Iterator[DataFrame]:
+    """What ``step`` makes of each run: a table is written before the next run is sent, and its broadcast ends there; the last result is still a plan."""
+    sent, last = None, None
+    for run in runs(items, **options):
+        if sent is not None:
+            yield shared(last, name)
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(run)
+        last = step(sent)
+    if last is not None:
+        yield last
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options: float) -> DataFrame:
-    """The documents that hold no item, with all their columns. Row by row."""
-    out, at = docs, docs.columns.index(text_col)
-    for index in indexes(items, **options):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    """The documents that hold no item, with all their columns. Row by row; each run goes over what the one before has left."""
+    left, at = [docs], docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+    def clean(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names = batch.schema.names
                 for part in steps([batch.rename_columns([f"c{i}" for i in range(len(names))])], f"c{at}"):
                     ok = np.ones(part.num_rows, bool)
-                    ok[[m[0] for m in index.matches(part.column(at).to_pylist(), _cell(index))]] = False
+                    ok[[m[0] for m in sent.value.matches(part.column(at).to_pylist())]] = False
                     yield part.filter(pa.array(ok)).rename_columns(names)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return left[-1].mapInArrow(run, docs.schema)
+
+    for some in _one_at_a_time(docs.sparkSession, items, options, clean, "clean"):
+        left.append(some)
+        if len(left) > 3:  # read by the table that was just written, or is about to be
+            unshare(left.pop(-3))
+    return left[-1]
