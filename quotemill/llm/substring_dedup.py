@@ -6,10 +6,10 @@ words, and runs of equal windows give the smallest document each window starts i
 
 Less is sent than all super-k-mers:
 
-1. Each document names its super-k-mers by (minimiser, content hash): 16 bytes for some 20 windows. Equal ones are
+1. Each document names its super-k-mers by (minimiser, content hash): 16 bytes for some 20 windows. They are written once. Equal ones are
    pre-aggregated to the smallest document, so copies of a text or passage meet as counts.
 2. Only minimisers that have two or more different contents need their windows compared; of each such content, one document (the smallest) sends
-   the packed string to the bucket.
+   the packed string to the bucket, and of repeated rows one.
 3. In the bucket, sorting (prefix doubling over word numbers, many buckets at a time) gives each window's smallest document.
 4. What a document loses follows from its contents' answers. Texts meet their answers by one join on the document.
 
@@ -18,8 +18,11 @@ document with map-side combining, so no bucket's size bounds the job.
 
 Words of a document are compared with those of documents with a smaller doc_id only, on the input as given.
 
+What steps hand on is written to the shared folder, and freed once the spans are known. So joins read tables on both sides, and the engine can split a
+key of theirs that many rows share (a minimiser of near copies, a passage that many documents hold).
+
 Edge cases: null and empty texts have no words and come back with n_words 0; documents of fewer than 50 words lose
-nothing. Rows with the same doc_id (repeated rows too) never take from one another. A null doc_id is larger than all others, so the row loses what
+nothing; very long texts are worked on whole, their super-k-mers dealt out like those of others. Rows with the same doc_id (repeated rows too) never take from one another. A null doc_id is larger than all others, so the row loses what
 occurs elsewhere and takes from none. Further columns do not matter; an empty table gives no rows.
 """
 
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, as_bytes, free_name, shared, steps, words_of
+from .common import Ids, as_bytes, free_name, shared, steps, unshare, words_of
 
 WINDOW, MINIMISER = 50, 8
 #: Windows of one super-k-mer; contents of a bucket that are sorted in one task.
@@ -141,7 +144,8 @@ def _named(docs: DataFrame, window: int, minimiser: int, longest: int) -> DataFr
 
 def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """(key, content, doc, packed): the words of the wanted super-k-mers. ``wanted``: (row, doc, want[key, content, place])."""
-    both = wanted.join(docs.select("doc", "row", "text"), ["doc", "row"]).select("doc", "want", "text")
+    # Repeated rows have one (doc, row): the join brings them together, and one of them answers.
+    both = wanted.join(docs.select("doc", "row", "text"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "text"):
@@ -199,18 +203,12 @@ def _sorted_buckets(packed: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[int] = set()  # contents of this bucket: repeated rows of documents send them again
         size, last = 0, None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "doc", "packed")), strict=True):
-                if row[0] != last:
-                    seen.clear()
-                    if size > 1 << 20:  # a bucket stays whole
-                        yield solve(held)
-                        held, size = [], 0
-                elif row[1] in seen:
-                    continue
-                seen.add(row[1])
+                if row[0] != last and size > 1 << 20:  # a bucket stays whole
+                    yield solve(held)
+                    held, size = [], 0
                 held.append(row)
                 size += len(row[3])
                 last = row[0]
@@ -238,8 +236,8 @@ def _spread_buckets(packed: DataFrame, window: int) -> DataFrame:
     windows = packed.mapInArrow(run, "key long, content long, doc long, i long, h1 long, h2 long")
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"))
     found = windows.join(least, ["h1", "h2"])
-    # A content has LONGEST windows at most; a set, as repeated rows of documents send it again.
-    per = found.groupBy("key", "content").agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("w"))
+    # A content has LONGEST windows at most.
+    per = found.groupBy("key", "content").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("w"))
 
     def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,17 +251,17 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
     """(doc, row, spans): for each row of (doc, row, text) that loses words, [start, end) packed as start << 32 | end."""
     if not 0 < longest < 128:
         raise ValueError("longest must be below 128")
-    named = _named(docs, window, minimiser, longest)
+    named = shared(_named(docs, window, minimiser, longest), "super-kmers")
     one = F.min(F.struct("doc", "row", "place"))
     contents = named.groupBy("key", "content").agg(one.alias("first"), F.max("doc").alias("last")).select("key", "content", "first.*", "last")
     contents = shared(contents, "contents")
-    sizes = contents.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    many = contents.join(sizes, "key").select("key", "content", "doc", "row", "place", "size")
-    wanted = many.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "content", "place")).alias("want"))
+    sizes = shared(contents.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
+    wanted = contents.join(sizes, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "content", "place")).alias("want"))
     packed = shared(_packed(docs, wanted, window).join(sizes, "key"), "packed")
     answers = _sorted_buckets(packed.filter(F.col("size") <= most).drop("size"), window).unionByName(_spread_buckets(packed.filter(F.col("size") > most).drop("size"), window))
     # Answers that can take something: a smaller document than the content's own first one, or a later document.
     known = contents.join(answers, ["key", "content"], "left").filter(F.col("least").isNotNull() | (F.col("last") > F.col("doc"))).select("key", "content", F.col("doc").alias("first_doc"), "least")
+    known = shared(known, "known")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +275,10 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "row", "span"])
 
     hits = named.join(known, ["key", "content"]).select("doc", "row", "place", "first_doc", "least").mapInArrow(spans, "doc long, row long, span long")
-    return hits.groupBy("doc", "row").agg(F.collect_list("span").alias("spans"))
+    out = shared(hits.groupBy("doc", "row").agg(F.collect_set("span").alias("spans")), "spans")  # a set, as repeated rows name the same
+    for table in (named, contents, sizes, packed, known):
+        unshare(table)
+    return out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
