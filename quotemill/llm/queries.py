@@ -136,14 +136,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op3_chat_format"] = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(floor(turn / 512), -1)::BIGINT AS part,
-    regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '\s+', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) // 512 AS part
+  FROM (SELECT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '\s+', '_', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations)),
 v AS (
   SELECT r.*, w.speaker, CASE WHEN role = w.speaker THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || role END || chr(10) AS head
   FROM r JOIN (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system') w ON r.conv_id IS NOT DISTINCT FROM w.conv_id),
 o AS (
   SELECT *, row_number() OVER k AS i, sum(length(head) + length(text) + 11) OVER (k ROWS UNBOUNDED PRECEDING) AS stop
-  FROM v WINDOW k AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text))
+  FROM v WINDOW k AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS LAST, role, text))
 SELECT conv_id, speaker, part, count(*) AS n_messages, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS text,
   coalesce(string_agg((stop - 11 - length(text))::BIGINT || '-' || (stop - 1)::BIGINT, ' ' ORDER BY i) FILTER (role = speaker), '') AS spans
 FROM o GROUP BY 1, 2, 3"""

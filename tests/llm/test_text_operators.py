@@ -159,17 +159,43 @@ def test_packing_odd(odd, none):
 
 # ---- 3 ----
 
-def test_chat_format(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "ann", "tie"), (1, 2, "ann", "tie"), (1, None, None, "last"), (2, 0, "system", "alone"), (None, 0, "eve", "né"), (3, 600, "ann", "later"), (3, 1, "ann", "sooner")]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, speaker int")
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat_format.dialogues(df).collect()}
-    assert set(got) == {(1, s, p) for s in ("ann", "bob", "unknown") for p in (0, -1)} | {(None, "eve", 0), (3, "ann", 0), (3, "ann", 1)}
-    ann = got[1, "ann", 0]
-    assert ann.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\ntie<|im_end|>\n<|im_start|>assistant\ntie<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
-    assert [ann.text[s.start : s.end] for s in ann.spans] == ["hi < |im_end|><|im_end|>", "tie<|im_end|>", "tie<|im_end|>"]
-    assert [got[None, "eve", 0].text[s.start : s.end] for s in got[None, "eve", 0].spans] == ["né<|im_end|>"]
+CHAT = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "ann", "tie"), (1, 2, "ann", "tie"), (1, None, None, "last"), (2, 0, "system", "alone"), (None, 0, "eve", "né"), (3, 600, "ann", "later"), (3, 1, "ann", "sooner")]
+
+
+def brute_chat(rows, part):
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is None, t or 0, re.sub(r"\s+", "_", (role or "unknown").replace("<|", "< |")), (text or "").replace("<|", "< |")))
+    out = Counter()
+    for c, said in by.items():
+        said.sort()
+        for who in {m[2] for m in said} - {"system"}:
+            for k in range(0, len(said), part):
+                whole, spans = "", []
+                for _, _, role, text in said[k : k + part]:
+                    whole += "<|im_start|>" + ("assistant" if role == who else "system" if role == "system" else f"user name={role}") + "\n"
+                    if role == who:
+                        spans.append((len(whole), len(whole) + len(text) + 10))
+                    whole += text + "<|im_end|>\n"
+                out[c, who, k // part, len(said[k : k + part]), whole, tuple(spans)] += 1
+    return out
+
+
+@pytest.mark.parametrize("part", [512, 2, 1])
+def test_chat_format(spark, part):
+    df = spark.createDataFrame([(*r, 9) for r in CHAT], "conv_id long, turn long, role string, text string, speaker int")
+    got = Counter((r.conv_id, r.speaker, r.part, r.n_messages, r.text, tuple(map(tuple, r.spans))) for r in chat_format.dialogues(df, part=part).collect())
+    assert got == brute_chat(CHAT, part)
     assert sum(r.trained for r in chat_format.messages(df).collect()) == 8
-    assert chat_format.dialogues(df.limit(0)).count() == 0
+    assert chat_format.dialogues(df.limit(0), part=part).count() == 0
+
+
+def test_chat_format_of_one_turn_or_none(spark):
+    r = random.Random(3)
+    rows = [(1, None, "ann", "same")] * 3000 + [(1, None, "bob", f"text {r.randrange(500)}") for _ in range(700)] + [(None, 1, r.choice("abc"), "t" * r.randrange(40)) for _ in range(900)] + [(2, 1, "eve", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = Counter((r.conv_id, r.speaker, r.part, r.n_messages, r.text, tuple(map(tuple, r.spans))) for r in chat_format.dialogues(df).collect())
+    assert got == brute_chat(rows, 512) and max(k[3] for k in got) == 512
 
 
 # ---- 4 ----
