@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import free_name, importable, shared, unshare
 
-__all__ = ["Ids", "as_bytes", "free_name", "importable", "ranks_in_groups", "shared", "steps", "unshare", "words_of"]
+__all__ = ["Ids", "as_bytes", "free_name", "importable", "ranks_in_groups", "salted", "shared", "steps", "unshare", "words_of"]
 
 #: Bytes of text that one vectorised step works on; longer single texts make a step of their own.
 STEP_BYTES = 2 << 20
@@ -51,18 +51,28 @@ def as_bytes(name: str) -> Column:
 
 # ---- ranks within groups, without one task per group ----
 
-def ranks_in_groups(df: DataFrame, group: str, order: list[str], name: str, buckets: int = 128) -> DataFrame:
-    """Adds ``name``: 0, 1, 2, ... within each ``group``, gapless.
+#: Rows of one bucket of ranks, about.
+PER_BUCKET = 1_000_000
 
-    Rows of a group are spread over ``buckets`` by a hash of ``order``; each bucket is ranked alone and starts
-    after the counts of the buckets before it. So a group that holds a third of all rows is the work of many
-    tasks. Equal rows get ranks in any order. The counts are at most groups x buckets rows.
+
+def salted(df: DataFrame, name: str, *key: str) -> DataFrame:
+    """Adds a hash of the key that differs among equal rows too. Write the rows before they are shuffled: then each has one salt, whatever is lost and run again."""
+    return df.withColumn(name, F.xxhash64(*key, F.monotonically_increasing_id()))
+
+
+def ranks_in_groups(table: DataFrame, group: str, salt: str, name: str, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... within each ``group``, gapless, in any order; drops the salt.
+
+    ``table`` is written, with a salt (see ``salted``). Rows of a group are spread by it over as many buckets as the table's size asks for; each bucket is
+    ranked alone and starts after the counts of the buckets before it. So neither a group that holds a third of all rows nor repeated
+    rows are the work of one task. The counts are at most groups x buckets rows.
     """
-    b, n, base = (free_name(df.columns, x) for x in ("bucket", "count", "base"))
-    spread = df.withColumn(b, F.pmod(F.xxhash64(*order, F.lit("rank")), F.lit(buckets)).cast("int"))
+    b, n, base = (free_name(table.columns, x) for x in ("bucket", "count", "base"))
+    buckets = max(1, -(-table.count() // per_bucket))
+    spread = table.withColumn(b, F.pmod(F.col(salt), F.lit(buckets)))
     counts = spread.groupBy(group, b).agg(F.count(F.lit(1)).alias(n))
     bases = counts.withColumn(base, F.sum(n).over(Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))).select(
         F.col(group).alias(f"__{group}"), F.col(b).alias(f"__{b}"), F.coalesce(base, F.lit(0)).alias(base))
-    local = spread.withColumn(name, F.row_number().over(Window.partitionBy(group, b).orderBy(*order)).cast("long") - 1)
+    local = spread.withColumn(name, F.row_number().over(Window.partitionBy(group, b).orderBy(salt)).cast("long") - 1)
     out = local.join(bases, (F.col(group) == F.col(f"__{group}")) & (F.col(b) == F.col(f"__{b}")))
-    return out.withColumn(name, F.col(name) + F.col(base)).drop(b, base, f"__{group}", f"__{b}")
+    return out.withColumn(name, F.col(name) + F.col(base)).drop(b, base, f"__{group}", f"__{b}", salt)

@@ -5,11 +5,11 @@ document alone, so each text is tokenised once and no ids are shuffled or kept.
 most 2047 counts. Shortest-pack-first (Krell et al. 2021) places its lengths longest first, each into the shortest
 open packs, by updating counts of packing patterns, not of packs. What a pattern still lacks is known only after
 that, so the last packs may stay short. Then patterns are joined back to documents by rank: the k-th rest of a length
-takes the k-th place for that length. Ranks come from bucketed counts, so a length that a third of all documents have is the
+takes the k-th place for that length. Ranks come from counts of buckets, as many as the pieces ask for, so a length that a third of all documents have is the
 work of many tasks. The histogram and the patterns are bounded by the sequence length, whatever the corpus.
 
 Edge cases: a null text is an empty one, whose only id is the end id. Repeated rows and tied or null ids are packed
-as separate documents. Further columns do not matter; an empty table gives no rows.
+as separate documents; very long texts are tokenised whole. Further columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranks_in_groups, shared, steps
+from .common import ranks_in_groups, salted, shared, steps
 
 LENGTH, END = 2048, 1
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_key long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
@@ -85,12 +85,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             out: list[tuple] = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode([text])[0], end], "<u4")
-                key = zlib.crc32(ids.tobytes())
                 for at in range(0, len(ids), length):
                     cut = ids[at : at + length]
-                    out.append((doc, at, len(cut), zlib.crc32(cut.tobytes()), len(ids), key))
+                    out.append((doc, at, len(cut), zlib.crc32(cut.tobytes()), len(ids)))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return rows.mapInArrow(run, PIECES)
 
@@ -146,7 +145,8 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[list[
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """Every piece with its sequence_id and offset; sequence ids are gapless."""
-    cut = shared(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, length=length, end=end), "pieces")
+    cut = pieces(docs, tokenizer, id_col=id_col, text_col=text_col, length=length, end=end)
+    cut = shared(salted(cut, "salt", "doc_id", "start", "ids_crc32"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `length` rows
     full = histogram.pop(length, 0)
     where = places([(full, (length,)), *pack(histogram, length)])
@@ -162,5 +162,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                 off.append(offset[k])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = ranks_in_groups(cut, "length", ["doc_id", "doc_key", "start", "ids_crc32"], "rank", buckets=64)
+    ranked = ranks_in_groups(cut, "length", "salt", "rank")
     return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

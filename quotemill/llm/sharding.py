@@ -4,10 +4,11 @@ Every shard scores a key with -ln(u) / weight, u from a hash of key and shard; t
 shard). So a shard gets keys in proportion to its weight, key and shard list alone decide, and a shard that is added
 takes keys only into itself. The law is ``key``: records with equal texts but different keys may part.
 
-Slots number the records of a shard without gaps. They come from bucketed ranks, so no task holds a whole shard.
+Slots number the records of a shard without gaps, in no special order. They come from ranks within buckets, as many as the records ask for, so no
+task holds a whole shard. The records' sizes and shards are written once, without texts, and numbered there.
 
 Edge cases: a null key is a key of its own; a null text has no bytes (size 16, CRC 0). Repeated rows go to the same
-shard and take separate slots. Further columns do not matter; an empty table gives no rows.
+shard and take separate slots. A very long text is one record. Further columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ranks_in_groups
+from .common import free_name, ranks_in_groups, salted, shared
 
 SHARDS = 40
 #: Bytes that a record takes besides its text.
@@ -58,7 +59,7 @@ def manifest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     placed = assign(rows, "doc_id", weights, grown="grown_shard")
-    ranked = ranks_in_groups(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    ranked = ranks_in_groups(shared(salted(placed, "salt", "doc_id", "text_crc32", "size"), "records"), "shard", "salt", "slot")
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
