@@ -7,16 +7,17 @@ Search. Equal fingerprints are one representative from the start, so copies are
 ring of 4 segments. By the pigeonring principle (Qin and Xiao 2018) two fingerprints within distance t have a start
 from which every chain of k consecutive segments differs in at most k * t / 4 bits: 0, 1, 2, 3 for t = 3. So a
 candidate shares a whole segment and, as the next may differ in one bit, one of its halves: 24 bits, 8 tables, an
-equi-join. The whole chain condition then prunes candidates before the full Hamming check.
+equi-join. Of more than ``wide_from`` rows, the third segment joins the key: the second and third differ in two bits at most and the second in one, so a candidate shares
+two of their four halves in one of 5 ways: 32 bits, 20 tables. Either way the links found are all links. The whole chain condition then prunes candidates before the full Hamming check.
 
 A bucket of a table with over ``most`` representatives is not paired. There the rest of the search is linear:
 within it, a and b lie within 3 bits just if some x has distance <= 1 from a and <= 2 from b, so every representative
-names the words of up to 2 flips among its 40 free bits, and all that share a name with a flip-1 member link to it
+names the words of up to 2 flips among its 40 free bits (32 of wide keys), and all that share a name with a flip-1 member link to it
 (each of them is within 3 of it). That finds all groups, with no pairs of a bucket.
 
 Edge cases: a null text counts as empty; an empty text has fingerprint 0 and links like any other; a document of one
 or two words has them all as its single shingle. A null doc_id keeps its row; it never names a component unless the
-component has no other id. Repeated rows and tied ids stay as they are. Further columns do not matter.
+component has no other id. Very long texts are hashed whole. Repeated rows and tied ids stay as they are. Further columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from ..operators.components import components
 from .common import as_bytes, free_name, shared, steps
 
 SEED, SHINGLE, DISTANCE, SEGMENTS, SEGMENT = 42, 3, 3, 4, 16
+#: Halves of the second and third segment (numbers of bytes after the first) that a table's key holds besides the first segment.
+NARROW, WIDE = ((2,), (3,)), ((2, 3), (3, 4), (3, 5), (2, 4), (2, 5))
+#: Rows from which wide keys pay: some 4 of a narrow key's bucket.
+WIDE_FROM = 1 << 26
 #: Representatives of one bucket that are compared by an equi-join.
 MOST = 1024
 
@@ -75,15 +80,15 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 64 - SEGMENT * (i % SEGMENTS + 1)).bitwiseAND(F.lit(0xFFFF))
 
 
-def _table_keys(fp: Column) -> Column:
-    """An array of 8 longs: the table's number above the 24 bits of a segment and a half of the next one."""
-    keys = []
-    for i in range(SEGMENTS):
-        here, after = _segment(fp, i), _segment(fp, i + 1)
-        for half in (0, 1):
-            part = F.shiftrightunsigned(after, 8 * (1 - half)).bitwiseAND(F.lit(0xFF))
-            keys.append((F.lit((2 * i + half) << 24).cast("long") + F.shiftleft(here, 8) + part).cast("long"))
-    return F.array(*keys)
+def _tables(wide: bool) -> list[tuple[int, ...]]:
+    """The bytes of a fingerprint (0 is the highest) that each table's key is made of; those of one start follow each other."""
+    return [tuple((2 * i + k) % 8 for k in (0, 1, *more)) for i in range(SEGMENTS) for more in (WIDE if wide else NARROW)]
+
+
+def _table_keys(fp: Column, tables: list[tuple[int, ...]]) -> Column:
+    """An array of longs, one of each table: its number above the bytes."""
+    byte = lambda k: F.shiftrightunsigned(fp, 56 - 8 * k).bitwiseAND(F.lit(0xFF))
+    return F.array(*(sum((F.shiftleft(byte(k), 8 * n) for n, k in enumerate(of)), F.lit(t << 8 * len(of)).cast("long")).cast("long") for t, of in enumerate(tables)))
 
 
 def _chain_holds(differ: Column, start: int) -> Column:
@@ -95,33 +100,40 @@ def _chain_holds(differ: Column, start: int) -> Column:
     return ok
 
 
-def links(fps: DataFrame, most: int = MOST) -> DataFrame:
+def links(fps: DataFrame, most: int = MOST, wide: bool = False) -> DataFrame:
     """(a, b): links between distinct fingerprints in column ``fp``, enough to give the same groups as all links."""
-    keyed = fps.select("fp", F.explode(_table_keys(F.col("fp"))).alias("key"))
+    tables = _tables(wide)
+    bits = 8 * len(tables[0])
+    keyed = fps.select("fp", F.explode(_table_keys(F.col("fp"), tables)).alias("key"))
     size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     keyed = shared(keyed.join(size, "key"), "simhash-keys")
     few = keyed.filter(F.col("size") <= most)
     a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    table = F.shiftright("key", 24).cast("int")
-    # A pair is named once: by the table of the first start whose chains hold, and its first half that agrees.
-    pruned = F.lit(False)
-    earlier = F.lit(False)
+    table = F.shiftright("key", bits).cast("int")
+    # A pair is named once: by the first start whose chains hold, and the first table of that start that it shares.
+    pruned, earlier = F.lit(False), F.lit(False)
+    each = len(tables) // SEGMENTS
     for i in range(SEGMENTS):
-        holds = _chain_holds(x, i)
-        first_half = F.shiftrightunsigned(_segment(x, i + 1), 8) == 0
-        pruned = pruned | (holds & ~earlier & (((table == 2 * i) & first_half) | ((table == 2 * i + 1) & ~first_half)))
+        holds, named, before = _chain_holds(x, i), F.lit(False), F.lit(False)
+        for t in range(i * each, (i + 1) * each):
+            agrees = x.bitwiseAND(F.lit(_signed(sum(0xFF << (56 - 8 * k) for k in tables[t])))) == 0
+            named = named | ((table == t) & ~before)
+            before = before | agrees
+        pruned = pruned | (holds & ~earlier & named)
         earlier = earlier | holds
     near = a.join(b, "key").filter((F.col("a") < F.col("b")) & pruned).filter(F.bit_count(x) <= DISTANCE).select("a", "b")
-    return near.unionByName(_links_in_large_buckets(keyed.filter(F.col("size") > most)))
+    return near.unionByName(_links_in_large_buckets(keyed.filter(F.col("size") > most), tables))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _links_in_large_buckets(keyed: DataFrame) -> DataFrame:
-    masks = []
-    for table in range(2 * SEGMENTS):
-        start = SEGMENT * (table // 2)
-        fixed = {(start + k) % 64 for k in range(SEGMENT)} | {(start + SEGMENT + 8 * (table % 2) + k) % 64 for k in range(8)}
-        free = [1 << (63 - p) for p in range(64) if p not in fixed]
+def _links_in_large_buckets(keyed: DataFrame, tables: list[tuple[int, ...]]) -> DataFrame:
+    masks, bits = [], 8 * len(tables[0])
+    for of in tables:
+        free = [1 << (63 - p) for p in range(64) if p // 8 not in of]
         masks.append([0, *free, *(p | q for p, q in combinations(free, 2))])
     flips, near = np.array(masks, np.uint64), 1 + len(free)
 
@@ -130,23 +142,23 @@ def _links_in_large_buckets(keyed: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 key, fp = (part.column(k).to_numpy() for k in ("key", "fp"))
-                word = fp.view(np.uint64)[:, None] ^ flips[key >> 24]
+                word = fp.view(np.uint64)[:, None] ^ flips[key >> bits]
                 n = word.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key >> 24, n)), pa.array(word.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, n)), pa.array(np.tile(np.arange(n) < near, len(fp)))], names=["table", "word", "fp", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key >> bits, n)), pa.array(word.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, n)), pa.array(np.tile(np.arange(n) < near, len(fp)))], names=["table", "word", "fp", "hub"])
 
     named = keyed.select("key", "fp").mapInArrow(run, "table long, word long, fp long, hub boolean")
     groups = named.groupBy("table", "word").agg(F.min(F.when(F.col("hub"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("fps"))  # 821 at most
     return groups.filter(F.col("a").isNotNull() & (F.size("fps") > 1)).select("a", F.explode("fps").alias("b")).filter("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, extra: dict[str, Column] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, wide_from: int = WIDE_FROM, extra: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, fp long, *extra, grouped long, component_id) for every row.
 
     component_id: the smallest doc_id reachable; grouped: the group's least fingerprint, which tells groups apart even where doc_ids are not unique.
     """
     rows = shared(fingerprints(docs, id_col=id_col, text_col=text_col, extra=extra), "simhash")
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(reps.select("fp"), most))
+    comp = components(links(reps.select("fp"), most, rows.count() > wide_from))
     named = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select(F.col("fp").alias("_fp"), F.col("component").alias("grouped"), "component_id")
