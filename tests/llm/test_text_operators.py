@@ -234,27 +234,41 @@ def test_html_rules_hold_on_marked_pages():
 
 # ---- 5 ----
 
-def brute_lm(rows):
+def brute_lm(rows, order=2):
     docs = [words(t) for _, t in rows]
-    uni, bi = Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d, d[1:], strict=False))
-    total, out = sum(uni.values()), []
+    grams = lambda d, n: Counter(tuple(d[k : k + n]) for k in range(len(d) - n + 1))
+    every = [sum((grams(d, n) for d in docs), Counter()) for n in range(1, order + 1)]
+    total, out = sum(map(len, docs)), []
     for (i, _), d in zip(rows, docs, strict=True):
-        u, b, s = Counter(d), Counter(zip(d, d[1:], strict=False)), 0.0
-        for k, w in enumerate(d):
-            low = (uni[w] - u[w] or 0.5) / max(total - len(d), 1)
-            p = (d[k - 1], w) if k else None
-            s += math.log((bi[p] - b[p]) / max(uni[p[0]] - u[p[0]], 1) if k and bi[p] > b[p] else low * (0.4 if k else 1))
-        out.append((i, len(d), round(s, 6)))
+        own = [grams(d, n) for n in range(1, order + 1)]
+
+        def seen(g, own=own):
+            return every[len(g) - 1][g] - own[len(g) - 1][g]
+
+        def score(g, n=len(d), seen=seen):
+            if len(g) == 1:
+                return (seen(g) or 0.5) / max(total - n, 1)
+            return seen(g) / max(seen(g[:-1]), 1) if seen(g) else 0.4 * score(g[1:])
+
+        out.append((i, len(d), round(sum(math.log(score(tuple(d[max(0, k - order + 1) : k + 1]))) for k in range(len(d))), 6)))
     return Counter(out)
 
 
-def test_lm_scoring(odd, none):
-    got = lm_scoring.lm_scores(odd, block_bytes=2000, range_bytes=5000).collect()
-    assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == brute_lm(odd_rows())
+@pytest.mark.parametrize(("order", "options"), [(2, {"block_bytes": 2000, "range_bytes": 5000}), (3, {}), (3, {"block_bytes": 500, "range_bytes": 300, "most_ranges": 4}), (1, {"block_bytes": 700, "range_bytes": 100, "most_ranges": 1})])
+def test_lm_scoring(odd, none, order, options):
+    got = lm_scoring.lm_scores(odd, order=order, **options).collect()
+    assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == brute_lm(odd_rows(), order)
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
-    assert lm_scoring.lm_scores(none).count() == 0
-    three = lm_scoring.lm_scores(odd, order=3).collect()
-    assert len(three) == len(odd_rows()) and all(r.log_score <= 0 for r in three)
+    assert lm_scoring.lm_scores(none, **options).count() == 0
+
+
+def test_lm_scoring_spreads_equal_rows(spark):
+    rows = [(None, "one two three four five")] * 3000 + [(7, "x " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = lm_scoring._deal(docs.withColumn("text", F.col("text").cast("binary")), 50, 2000).filter("doc_id is null").groupBy("block").count().collect()
+    assert sum(r["count"] for r in sizes) == 3000 and max(r["count"] for r in sizes) < 600
+    got = lm_scoring.lm_scores(docs, block_bytes=20_000, range_bytes=20_000).collect()
+    assert len(got) == 3001 and len({(r.doc_id, round(r.log_score, 6)) for r in got}) == 2
 
 
 # ---- 6 ----
@@ -294,13 +308,15 @@ def test_simhash_odd(spark, odd, none):
     want = Counter((i, f"{p:016x}", least.get(group[p])) for (i, _), p in zip(odd_rows(), prints, strict=True))
     got = simhash_dedup.near_duplicates(odd)
     assert Counter((r.doc_id, r.h, r.component_id) for r in got.select("doc_id", simhash_dedup.hex_of(F.col("fp")).alias("h"), "component_id").collect()) == want
+    wide = simhash_dedup.near_duplicates(odd, wide_from=1)
+    assert Counter((r.doc_id, r.h, r.component_id) for r in wide.select("doc_id", simhash_dedup.hex_of(F.col("fp")).alias("h"), "component_id").collect()) == want
     kept = simhash_dedup.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len(set(group.values()))
     assert simhash_dedup.near_duplicates(none).count() == 0 and simhash_dedup.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [1024, 3, 1])
-def test_simhash_links(spark, most):
+@pytest.mark.parametrize(("most", "wide"), [(1024, False), (3, False), (1, True), (1024, True), (2, True)])
+def test_simhash_links(spark, most, wide):
     from quotemill.operators.components import components
 
     r = random.Random(5)
@@ -315,7 +331,7 @@ def test_simhash_links(spark, most):
     group = reach(prints, lambda a, b: (a ^ b).bit_count() <= 3)
     size = Counter(group.values())
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    got = components(simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most)).collect()
+    got = components(simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most, wide)).collect()
     by = defaultdict(set)
     for row in got:
         by[row.component].add(row.node % (1 << 64))
