@@ -1,112 +1,54 @@
-"""The wire format: little-endian messages with a header of type (1 byte) and length (2 bytes, header included).
+"""Decoding and encoding of messages as steps of a plan (see ``wire`` for the format).
 
-Decoding and encoding are column expressions, so both stay in the JVM. Unsigned 64-bit fields above 2**63 - 1 do not fit
-a LONG: they decode to null and the row says so in ``decode_error``.
+Each is one pass over Arrow batches: all fields of a message are read at once, by its type.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from .symbols import make_symbol, symbol_view
+from ..plans.storage import importable
+from . import wire
+from .wire import ADD, BAD_LENGTH, BAD_TYPE, CANCEL, EXECUTE, OUT_OF_RANGE, REPLACE, SIZES, TRUNCATED
 
-# Message types, sizes, and fields as (name, offset from 0, bytes, kind).
-ADD, CANCEL, EXECUTE, REPLACE = 1, 2, 3, 4
-SIZES = {ADD: 48, CANCEL: 27, EXECUTE: 31, REPLACE: 47}
-LAYOUT = {
-    ADD: [("seq_num", 3, 8, "u"), ("order_id", 11, 8, "u"), ("symbol", 19, 8, "s"), ("side", 27, 1, "u"), ("price", 28, 8, "i"), ("quantity", 36, 4, "u"), ("timestamp", 40, 8, "u")],
-    CANCEL: [("seq_num", 3, 8, "u"), ("order_id", 11, 8, "u"), ("timestamp", 19, 8, "u")],
-    EXECUTE: [("seq_num", 3, 8, "u"), ("order_id", 11, 8, "u"), ("quantity", 19, 4, "u"), ("timestamp", 23, 8, "u")],
-    REPLACE: [("seq_num", 3, 8, "u"), ("order_id", 11, 8, "u"), ("new_order_id", 19, 8, "u"), ("price", 27, 8, "i"), ("quantity", 35, 4, "u"), ("timestamp", 39, 8, "u")],
-}
-FIELDS = {"seq_num": "long", "order_id": "long", "new_order_id": "long", "symbol": "string", "side": "int", "price": "long", "quantity": "long", "timestamp": "long"}
-TRUNCATED, BAD_TYPE, BAD_LENGTH, OUT_OF_RANGE = "TruncatedMessage", "InvalidMessageType", "LengthMismatch", "ValueOutOfRange"
+__all__ = ["ADD", "BAD_LENGTH", "BAD_TYPE", "CANCEL", "EXECUTE", "OUT_OF_RANGE", "REPLACE", "SIZES", "TRUNCATED", "decode", "encode", "encode_error"]
 
-
-#: Low halves of all eight bytes.
-_LOW = 0x0F0F0F0F0F0F0F0F
-
-
-def _backwards(raw: Column, offset: Column, size: int) -> Column:
-    """A little-endian field with the halves of its bytes swapped: its hex digits read from the end, as a signed 64-bit number."""
-    return F.conv(F.reverse(F.hex(F.substring(raw, offset + 1, F.lit(size)))), 16, -10).cast("long")
-
-
-def _unswapped(x: Column) -> Column:
-    """The halves of all bytes swapped back."""
-    return F.shiftleft(x.bitwiseAND(F.lit(_LOW)), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(F.lit(_LOW)))
-
-
-def _then(rows: Column, step: Callable[[Column], dict[str, Column]]) -> Column:
-    """One more step over an array of structs: what the step makes of each."""
-    return F.transform(rows, lambda x: F.struct(*(c.alias(n) for n, c in step(x).items())))
+DECODED = T.StructType([T.StructField("decode_error", T.StringType()), T.StructField("msg_type", T.IntegerType()), *(T.StructField(name, from_arrow_type(kind)) for name, kind in wire.FIELDS.items())])
 
 
 def decode(packets: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds msg_type, the fields (null where a type has none) and decode_error; bytes after a message are ignored.
+    """The other columns, decode_error, msg_type and the fields (null where a type has none); bytes after a message are ignored.
 
-    Lost packets (null) should be filtered out first; a null decodes as truncated. Each step binds its values once, in a lambda over an array of one,
-    and ``inline`` keeps filters on the result above it. As plain projections the steps would be inlined into each other, over the size that Spark compiles.
+    Lost packets (null) should be filtered out first; a null decodes as truncated.
     """
-    numbers, signed = {}, set()
-    for name in FIELDS:
-        found = {t: spec for t, layout in LAYOUT.items() for spec in layout if spec[0] == name}
-        width, how = next(iter(found.values()))[2:]
-        numbers[name] = ({t: spec[1] for t, spec in found.items()}, width, how)
-        if how == "i":
-            signed.add(name)
-
-    def by_type(kind: Column, values: dict) -> Column:
-        return F.coalesce(*(F.when(kind == t, F.lit(v)) for t, v in values.items()))
+    importable(packets.sparkSession)
+    others = [c for c in packets.columns if c != raw]
+    schema = T.StructType([packets.schema[c] for c in others] + DECODED.fields)
 
-    def head(x: Column) -> dict[str, Column]:
-        digits = F.hex(F.substring(x, 1, 3))
-        return {"r": x, "t": F.conv(F.substring(digits, 1, 2), 16, 10).cast("int"), "declared": F.conv(F.concat(F.substring(digits, 5, 2), F.substring(digits, 3, 2)), 16, 10).cast("int"), "have": F.octet_length(x)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = wire.unpack(batch.column(raw))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(read[c] for c in DECODED.names)], names=schema.names)
 
-    def check(x: Column) -> dict[str, Column]:
-        size = by_type(x["t"], SIZES)
-        error = F.when(x["r"].isNull() | (x["have"] < 3), TRUNCATED).when(size.isNull(), BAD_TYPE).when(x["declared"] != size, BAD_LENGTH).when(x["have"] < size, TRUNCATED)
-        return {"r": x["r"], "t": x["t"], "error": error}
-
-    def read(x: Column) -> dict[str, Column]:
-        kind = F.when(x["error"].isNull(), x["t"])
-        out = {"error": x["error"], "t": kind}
-        for name, (offsets, width, how) in numbers.items():
-            at = by_type(kind, offsets)
-            out[name] = F.when(at.isNotNull(), symbol_view(F.decode(F.substring(x["r"], at + 1, F.lit(width)), "ISO-8859-1")) if how == "s" else _backwards(x["r"], at, width))
-        return out
-
-    def turn(x: Column) -> dict[str, Column]:
-        return {"error": x["error"], "msg_type": x["t"]} | {n: x[n] if how == "s" else _unswapped(x[n]) for n, (_, _, how) in numbers.items()}
-
-    def finish(x: Column) -> dict[str, Column]:
-        fits = {n: x[n] if how == "s" or n in signed else F.when(x[n] >= 0, x[n]) for n, (_, _, how) in numbers.items()}
-        big = (x["seq_num"] < 0) | (x["order_id"] < 0) | (x["timestamp"] < 0) | ((x["msg_type"] == REPLACE) & (x["new_order_id"] < 0))
-        return {"decode_error": F.when(big, OUT_OF_RANGE).otherwise(x["error"]), "msg_type": x["msg_type"]} | {n: c.cast(FIELDS[n]) for n, c in fits.items()}
-
-    rows = F.transform(F.array(raw), lambda x: F.struct(*(c.alias(n) for n, c in head(x).items())))
-    for step in (check, read, turn, finish):
-        rows = _then(rows, step)
-    return packets.select(*(c for c in packets.columns if c != raw), F.inline(rows))
-
-
-def _little_endian(value: Column, size: int) -> Column:
-    digits = F.lpad(F.right(F.hex(value.cast("long")), F.lit(2 * size)), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))))
+    return packets.select(*others, raw).mapInArrow(run, schema)
 
 
 def encode(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds the wire form of each message; null where msg_type is none of the four."""
-    def wire(kind: int) -> Column:
-        parts = [_little_endian(F.lit(kind), 1), _little_endian(F.lit(SIZES[kind]), 2)]
-        for name, _, size, how in LAYOUT[kind]:
-            parts.append(F.encode(make_symbol(F.col(name)), "ISO-8859-1") if how == "s" else _little_endian(F.col(name), size))
-        return F.concat(*parts)
+    importable(messages.sparkSession)
+    schema = T.StructType([f for f in messages.schema.fields if f.name != raw] + [T.StructField(raw, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = wire.pack_columns({c: batch.column(c) for c in ("msg_type", *wire.FIELDS)})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), made], names=schema.names)
 
-    return messages.withColumn(raw, F.coalesce(*(F.when(F.col("msg_type") == t, wire(t)) for t in SIZES)))
+    return messages.mapInArrow(run, schema)
 
 
 def encode_error(size: int, kind: int) -> str | None:

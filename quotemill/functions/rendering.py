@@ -1,4 +1,4 @@
-"""Text forms of deltas and gaps."""
+"""Text forms of deltas and gaps. The wording of the lines."""
 
 from __future__ import annotations
 

@@ -20,7 +20,7 @@ def generated(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFra
     base = events.select(
         F.col("event_id").alias("arrival_no"), kind.alias("msg_type"), (F.col("event_id") + 1).alias("own_id"), F.col("user_id").alias("channel"),
         F.concat(F.lit("SYM"), F.lpad((F.col("user_id") % SYMBOLS).cast("string"), 2, "0")).alias("feed_symbol"),
-        (F.col("event_id") % 2).cast("int").alias("feed_side"), (100 + key % 50).alias("feed_price"), (10 + F.col("event_id") % 20).alias("qty"), (1 + F.col("event_id") % 15).alias("exec_qty"),
+        (F.col("event_id") % 2).cast("int").alias("feed_side"), (2_000 + key * 7 % 90).alias("feed_price"), (5 + F.col("event_id") * 3 % 28).alias("qty"), (2 + F.col("event_id") * 5 % 17).alias("exec_qty"),
         (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 1000).alias("timestamp"))
     names = spark.range(SYMBOLS).select(F.concat(F.lit("SYM"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("feed_symbol"))
     base = base.join(F.broadcast(names.withColumn("shard", shard_of(F.col("feed_symbol"), shards))), "feed_symbol")  # 16 rows

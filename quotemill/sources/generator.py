@@ -3,101 +3,158 @@
     spark.dataSource.register(FeedSource)
     spark.read.format("order_feed").option("symbols", "AAPL,MSFT").option("messages", 5000).load()
 
-Each channel is a generator of its own, with its own symbols and ids, and one partition; rows are (channel, arrival_no, raw), raw null where the
-packet was lost. Numbers are the same for the same options, in batches and streams.
+Shards are dealt out to channels, and a channel carries the symbols of its shards, so a shard's sequence numbers are in one channel; rows are (channel,
+arrival_no, raw), raw null where the packet was lost. Channels take turns in arrival.
+
+A channel is made in blocks of ``BLOCK`` messages. A block is known from the seed, the channel and its number alone: it names only orders that it added itself,
+ids follow from a message's position, and each full block has the same number of messages of each symbol, so
+sequence numbers before it are known too. So any range of a feed is generated at once, by as many tasks as it has blocks, and a stream's offset, a position, is all the
+state that a restart needs.
 """
 
 from __future__ import annotations
 
-import random
-import struct
+import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+import numpy as np
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..functions.symbols import hash_text
+from ..functions import wire
+from ..functions.symbols import MOST_SHARDS, hash_text
 
-# The mix of messages (shares of a roll), the wire forms.
-ADD_BELOW, CANCEL_BELOW, EXECUTE_BELOW = 0.5, 0.65, 0.85
-WIRE = {1: "<BHQQ8sBqIQ", 2: "<BHQQQ", 3: "<BHQQIQ", 4: "<BHQQQqIQ"}
+# The shares of adds, cancels, executes and replaces.
+MIX = {wire.ADD: 0.50, wire.CANCEL: 0.15, wire.EXECUTE: 0.20, wire.REPLACE: 0.15}
 SCHEMA = "channel int, arrival_no long, raw binary"
+#: Messages of a block; blocks of one task.
+BLOCK, BLOCKS_PER_TASK = 8192, 8
+#: Nanoseconds of the first message, and between messages.
+EPOCH, TICK = 1_700_000_000_000_000_000, 1_000
+
+
+@dataclass(frozen=True)
+class Block:
+    """Some consecutive messages of a channel."""
 
+    kind: np.ndarray
+    fields: dict[str, np.ndarray]
+    lost: np.ndarray
 
-def encode(kind: int, *fields: int | bytes) -> bytes:
-    return struct.pack(WIRE[kind], kind, struct.calcsize(WIRE[kind]), *fields)
+    def packets(self) -> pa.Array:
+        return wire.pack(self.kind, self.fields, ~self.lost)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Feed:
     """One channel's generator."""
 
-    symbols: list[str]
+    symbols: tuple[str, ...]
     shards: int = 4
     messages: int = 1000
     loss: float = 0.0
     seed: int = 0
+    channel: int = 0
     first_id: int = 1
-    emitted: int = 0
-    lost: int = 0
-    seq: dict[int, int] = field(default_factory=dict)
+    block: int = BLOCK
 
     def __post_init__(self) -> None:
-        if not self.symbols or not 1 <= self.shards <= 16 or not 0 <= self.loss <= 1:
-            raise ValueError("a feed needs symbols, 1 to 16 shards and a loss from 0 to 1")
-        self.random = random.Random(self.seed)
-        self.next_id = self.first_id
-        self.resting: list[list[int]] = [[] for _ in self.symbols]
-        self.shard = [hash_text(s) % self.shards for s in self.symbols]
-
-    def _terms(self, oid: int) -> tuple[int, int]:
-        return 100 + oid % 50, 10 + oid % 20
-
-    def message(self) -> bytes:
-        """The next message; the generator's own state knows nothing of losses."""
-        rnd = self.random
-        n = rnd.randrange(len(self.symbols))
-        seq = self.seq[self.shard[n]] = self.seq.get(self.shard[n], 0) + 1
-        live, roll = self.resting[n], rnd.random()
-        if not live or roll < ADD_BELOW:
-            oid = self.next_id
-            self.next_id += 1
-            live.append(oid)
-            return encode(1, seq, oid, self.symbols[n].encode("latin-1")[:8], oid % 2, *self._terms(oid), seq)
-        at = rnd.randrange(len(live))
-        oid = live[at]
-        if roll < CANCEL_BELOW:
-            live.pop(at)
-            return encode(2, seq, oid, seq)
-        if roll < EXECUTE_BELOW:
-            return encode(3, seq, oid, 1 + oid % 5, seq)
-        new = live[at] = self.next_id
-        self.next_id += 1
-        return encode(4, seq, oid, new, *self._terms(new), seq)
+        if not self.symbols or not 1 <= self.shards <= MOST_SHARDS or not 0 <= self.loss <= 1:
+            raise ValueError(f"a feed needs symbols, 1 to {MOST_SHARDS} shards and a loss from 0 to 1")
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.messages // self.block)
+
+    def make(self, number: int) -> Block:
+        """The block of this number; the generator's own orders know nothing of losses."""
+        draw = np.random.Generator(np.random.Philox(key=[self.seed, self.channel], counter=[0, 0, 0, number]))
+        size, begin = self.block, number * self.block
+        count = min(size, self.messages - begin)
+        turns = np.arange(size) % len(self.symbols)
+        book = draw.permutation(turns)[:count]
+        kind = draw.choice(list(MIX), size, p=list(MIX.values()))[:count]
+        which = draw.random(size)[:count]
+        side, price = draw.integers(0, 2, size)[:count], 5_000 + 250 * book + draw.integers(-40, 41, size)[:count]
+        added, executed = draw.integers(1, 400, size)[:count], draw.integers(1, 120, size)[:count]
+        stamp = EPOCH + (begin + np.arange(count)) * TICK + draw.integers(0, TICK, size)[:count]
+        lost = draw.random(size)[:count] < self.loss
+        home = np.array([hash_text(s) % self.shards for s in self.symbols])
+        seq = np.zeros(count, np.int64)
+        for shard in set(home.tolist()):
+            here = home[book] == shard
+            seq[here] = number * int((home[turns] == shard).sum()) + np.arange(1, int(here.sum()) + 1)
+        new = self.first_id + begin + np.arange(count)
+        named = new.copy()
+        for n in range(len(self.symbols)):
+            rows = np.flatnonzero(book == n)
+            self._name(kind, named, rows, which)
+        words = np.array([wire.symbol_word(s) for s in self.symbols], np.uint64)
+        quantity = np.where(kind == wire.EXECUTE, executed, added)
+        return Block(kind, {"seq_num": seq, "order_id": named, "new_order_id": new, "symbol": words[book], "side": side, "price": price, "quantity": quantity, "timestamp": stamp}, lost)
+
+    @staticmethod
+    def _name(kind: np.ndarray, named: np.ndarray, rows: np.ndarray, which: np.ndarray) -> None:
+        """Gives the messages of one symbol the orders that they name; young orders are named more often. A message that finds none is an add.
+
+        An executed order stays in the list, so it may be named again after the book has filled it.
+        """
+        orders: list[int] = []
+        for i, k, w in zip(rows.tolist(), kind[rows].tolist(), which[rows].tolist(), strict=True):
+            if not orders or k == wire.ADD:
+                kind[i] = wire.ADD
+                orders.append(int(named[i]))
+                continue
+            at = -1 - int(w * w * len(orders))
+            own = int(named[i])
+            named[i] = orders[at]
+            if k == wire.REPLACE:
+                orders[at] = own
+            elif k == wire.CANCEL:
+                orders[at] = orders[-1]
+                orders.pop()
 
     def packets(self) -> Iterator[bytes | None]:
-        """Messages, or None for each that is lost on its way."""
-        while self.emitted < self.messages:
-            self.emitted += 1
-            raw = self.message()
-            if self.random.random() < self.loss:
-                self.lost += 1
-                yield None
-            else:
-                yield raw
-
-
-def _feeds(options: dict) -> list[Feed]:
+        """All messages, or None for each that is lost on its way."""
+        for number in range(self.blocks):
+            yield from self.make(number).packets().to_pylist()
+
+
+def feeds(options: dict) -> list[Feed]:
+    """The channels that the options ask for, as far as there are shards with symbols."""
     names = [s for s in options.get("symbols", "AAPL,MSFT,GOOG").split(",") if s]
-    seed, channels = int(options.get("seed", 0)), int(options.get("channels", 1))
-    each = int(options.get("messages", 1000))
-    return [Feed(names[c::channels] or names, int(options.get("shards", 4)), each, float(options.get("loss", 0)), seed * 1_000_003 + c, 1 + c * (each + 1)) for c in range(channels)]
+    shards, channels, each = int(options.get("shards", 4)), int(options.get("channels", 1)), int(options.get("messages", 1000))
+    whole = -(-each // BLOCK) * BLOCK
+    if not names:
+        raise ValueError("a feed needs symbols")
+    used = sorted({hash_text(s) % shards for s in names})
+    own = [tuple(s for s in names if used.index(hash_text(s) % shards) % channels == c) for c in range(channels)]
+    return [Feed(own[c], shards, each, float(options.get("loss", 0)), int(options.get("seed", 0)), c, 1 + c * whole) for c in range(channels) if own[c]]
+
 
+class _Range(InputPartition):
+    """Positions from ``start`` to ``end`` of a channel, within a few blocks."""
 
-class _Channel(InputPartition):
-    def __init__(self, channel: int) -> None:
-        self.channel = channel
+    def __init__(self, channel: int, start: int, end: int) -> None:
+        self.channel, self.start, self.end = channel, start, end
+
+
+def _ranges(options: dict, start: int, end: int) -> list[InputPartition]:
+    step = BLOCK * BLOCKS_PER_TASK
+    return [_Range(f.channel, max(start, at), min(end, f.messages, at + step)) for f in feeds(options) for at in range(start // step * step, min(end, f.messages), step)]
+
+
+def _read(options: dict, part: _Range) -> Iterator[pa.RecordBatch]:
+    feed = next(f for f in feeds(options) if f.channel == part.channel)
+    channels = int(options.get("channels", 1))
+    for number in range(part.start // BLOCK, -(-part.end // BLOCK)):
+        packets = feed.make(number).packets()
+        begin = number * BLOCK
+        a, b = max(part.start - begin, 0), min(part.end - begin, len(packets))
+        at = begin + np.arange(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, feed.channel, np.int32)), pa.array(at * channels + feed.channel), packets.slice(a, b - a)], names=["channel", "arrival_no", "raw"])
 
 
 class _Batch(DataSourceReader):
@@ -105,45 +162,40 @@ class _Batch(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Channel(c) for c in range(len(_feeds(self.options)))]
+        return _ranges(self.options, 0, int(self.options.get("messages", 1000)))
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        return _read(self.options, partition)
 
-    def read(self, partition: _Channel) -> Iterator[tuple]:
-        feed = _feeds(self.options)[partition.channel]
-        for n, raw in enumerate(feed.packets()):
-            yield (partition.channel, partition.channel * feed.messages + n, raw)
 
+class _Stream(DataSourceStreamReader):
+    """An offset is a position in every channel; new packets come in as many tasks as they have blocks.
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Offsets count packets per channel; a replayed range is generated again from the seed."""
+    All packets are there at once, or come ``perSecond`` in each channel since ``began`` (seconds of the epoch), so that a restart finds the same clock.
+    """
 
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
-        self.per_batch = int(options.get("perBatch", 1000))
+        self.messages, self.rate, self.began = int(options.get("messages", 1000)), options.get("perSecond"), options.get("began")
+        if self.rate and not self.began:
+            raise ValueError("perSecond needs began")
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
-    def _range(self, start: int, end: int) -> Iterator[tuple]:
-        for c, feed in enumerate(_feeds(self.options)):
-            for n, raw in enumerate(feed.packets()):
-                if n >= end:
-                    break
-                if n >= start:
-                    yield (c, c * feed.messages + n, raw)
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(start["at"] + self.per_batch, int(self.options.get("messages", 1000)))
-        return iter(list(self._range(start["at"], end))), {"at": end}
+    def latestOffset(self) -> dict:
+        come = int((time.time() - float(self.began)) * float(self.rate)) if self.rate else self.messages
+        return {"at": max(0, min(self.messages, come))}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._range(start["at"], end["at"])
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return _ranges(self.options, start["at"], end["at"])
 
-    def commit(self, end: dict) -> None:
-        pass
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        return _read(self.options, partition)
 
 
 class FeedSource(DataSource):
-    """Format ``order_feed``; options symbols, shards, messages (per channel), loss, seed, channels, perBatch."""
+    """Format ``order_feed``; options symbols, shards, messages (per channel), loss, seed, channels; for streams perSecond and began."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,5 +207,5 @@ class FeedSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Batch(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Stream(self.options)
