@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import CHUNK, running
+
 # Each interval with the stamps it ends and begins with.
 INTERVALS = [
     ("receive_to_decode", "t_decoded", "t_received"),
@@ -23,12 +25,32 @@ def intervals(trace: DataFrame) -> DataFrame:
     return trace.withColumns({name: F.col(end) - F.col(begin) for name, end, begin in INTERVALS})
 
 
-def statistics(trace: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """stage, n, mean, p50, p99, p999, max (and keys): percentiles are nearest-rank, exact."""
-    keys = keys or []
-    long = intervals(trace).select(*keys, F.explode(F.array(*(F.struct(F.lit(name).alias("stage"), F.col(name).alias("ns")) for name, _, _ in INTERVALS))).alias("x")).select(*keys, "x.*")
-    rank = lambda p: F.expr(f"cast(percentile_disc({p}) within group (order by ns) as long)")
-    return long.groupBy(*keys, "stage").agg(F.count("ns").alias("n"), F.avg("ns").alias("mean"), rank(0.5).alias("p50"), rank(0.99).alias("p99"), rank(0.999).alias("p999"), F.max("ns").alias("max"))
+def statistics(trace: DataFrame, keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """stage, n, mean, p50, p99, p999, max (and keys): percentiles are nearest-rank, exact.
+
+    Equal values are counted before they are shuffled, and ranks come from running counts over chunks of values, so no task holds a stage's values.
+    """
+    by = [*(keys or []), "stage"]
+    long = intervals(trace).select(*by[:-1], F.explode(F.array(*(F.struct(F.lit(name).alias("stage"), F.col(name).alias("ns")) for name, _, _ in INTERVALS))).alias("x")).select(*by[:-1], "x.*")
+    counts = long.filter("ns is not null").groupBy(*by, "ns").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    upto = running(counts, by, "ns", {"upto": ("sum", F.col("n"), True)}, chunk).join(total, by)
+
+    def rank(p: str) -> Column:
+        need = F.ceil(F.col("total") * F.lit(p).cast("decimal(4,3)")).cast("long")
+        return F.min(F.when(F.col("upto") >= F.greatest(need, F.lit(1)), F.col("ns")))
+
+    return upto.groupBy(*by).agg(F.max("total").alias("n"), (F.sum(F.col("ns") * F.col("n")) / F.max("total")).alias("mean"), rank("0.5").alias("p50"), rank("0.99").alias("p99"), rank("0.999").alias("p999"), F.max("ns").alias("max"))
+
+
+def percent_change(base: Column, other: Column) -> Column:
+    """By how many percent of ``base`` the other is larger; null of a base of 0."""
+    return F.when(base != 0, (other - base) * 100.0 / base)
+
+
+def per_message(seconds: Column, messages: Column) -> Column:
+    """Nanoseconds a message."""
+    return F.when(messages > 0, seconds * 1e9 / messages)
 
 
 def wall_time(samples: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import free_name
+from .prefix import CHUNK, running
+
 LEVEL = ["symbol", "side", "price"]
 
 
@@ -13,10 +16,11 @@ def better() -> Column:
     return F.when(F.col("side") == 0, -F.col("price")).otherwise(F.col("price"))
 
 
-def deltas(legs: DataFrame) -> DataFrame:
-    """legs with total_quantity and order_count of the level after each."""
-    after = Window.partitionBy(*LEVEL).orderBy("arrival_no", "leg").rowsBetween(Window.unboundedPreceding, 0)
-    return legs.withColumn("total_quantity", F.sum("d_qty").over(after)).withColumn("order_count", F.sum("d_count").over(after))
+def deltas(legs: DataFrame, chunk: int = 2 * CHUNK) -> DataFrame:
+    """legs with total_quantity and order_count of the level after each. A level's changes are summed in chunks of arrival, so a hot level is the work of many tasks."""
+    order = free_name(legs.columns, "order")
+    rows = legs.withColumn(order, F.col("arrival_no") * 2 + F.col("leg"))
+    return running(rows, LEVEL, order, {"total_quantity": ("sum", F.col("d_qty"), True), "order_count": ("sum", F.col("d_count").cast("long"), True)}, chunk).drop(order)
 
 
 def levels(legs: DataFrame, until: int | None = None) -> DataFrame:
@@ -62,8 +66,7 @@ def replay_difference(published: DataFrame, live: DataFrame) -> DataFrame:
     return a.join(b, LEVEL, "full").filter(~F.col("replayed").eqNullSafe(F.col("live")))
 
 
-def queue_positions(resting: DataFrame) -> DataFrame:
+def queue_positions(resting: DataFrame, chunk: int = 2 * CHUNK) -> DataFrame:
     """resting orders with queue_pos (1 is next to trade) and qty_ahead in their level."""
-    line = Window.partitionBy(*LEVEL).orderBy("entered")
-    ahead = F.coalesce(F.sum("remaining").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return resting.select("order_id", *LEVEL, "remaining", F.row_number().over(line).alias("queue_pos"), ahead.alias("qty_ahead"))
+    rows = resting.select("order_id", *LEVEL, "remaining", (F.col("entered.arrival_no") * 2 + F.col("entered.leg")).alias("line"))
+    return running(rows, LEVEL, "line", {"queue_pos": ("sum", F.lit(1).cast("long"), True), "qty_ahead": ("sum", F.col("remaining"), False)}, chunk).drop("line")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import REPLACE
-from ..plans.storage import shared, unshare
+from ..plans.storage import free_name, shared, unshare
 from .components import components
 
 
@@ -17,8 +17,9 @@ def with_lineage(messages: DataFrame, name: str = "lineage") -> DataFrame:
     are never replaced are lineages of their own, and never enter the search for components.
     """
     edges = messages.filter(F.col("msg_type") == REPLACE).select(F.col("order_id").alias("a"), F.col("new_order_id").alias("b"))
-    found = components(edges).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    return messages.join(found, F.col("order_id") == F.col("_node"), "left").withColumn(name, F.coalesce("_component", "order_id")).drop("_node", "_component")
+    node, component = (free_name(messages.columns, x) for x in ("node", "component"))
+    found = components(edges).select(F.col("node").alias(node), F.col("component").alias(component))
+    return messages.join(found, F.col("order_id") == F.col(node), "left").withColumn(name, F.coalesce(component, "order_id")).drop(node, component)
 
 
 def replace_tree(messages: DataFrame) -> DataFrame:

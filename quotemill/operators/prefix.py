@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import free_name
+
 CHUNK = 1_000_000
 
 
@@ -19,23 +21,29 @@ def running(df: DataFrame, keys: list[str], order: str, columns: dict[str, tuple
     A sum over no rows is 0, a maximum over no rows null. ``order`` must be a whole number, unique within the keys; rows with
     a null key are left out.
     """
-    c = "_chunk"
-    rows = df.withColumn(c, F.floor(F.col(order) / chunk))
-    for name, (_, value, _) in columns.items():
-        rows = rows.withColumn(f"_v_{name}", value)
+    names: set[str] = set(df.columns)
+
+    def own(base: str) -> str:
+        found = free_name(names, base)
+        names.add(found)
+        return found
+
+    c, k_chunk = own("chunk"), own("k_chunk")
+    v, r, t, b = ({name: own(f"{x}_{name}") for name in columns} for x in "vrtb")
+    k = {key: own(f"k_{key}") for key in keys}
+    rows = df.withColumn(c, F.floor(F.col(order) / chunk)).withColumns({v[name]: value for name, (_, value, _) in columns.items()})
     agg = {"sum": F.sum, "max": F.max}
-    per = rows.groupBy(*keys, c).agg(*(agg[how](f"_v_{name}").alias(f"_t_{name}") for name, (how, _, _) in columns.items()))
+    per = rows.groupBy(*keys, c).agg(*(agg[how](v[name]).alias(t[name]) for name, (how, _, _) in columns.items()))
     before = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(c).alias("_k_chunk"), *(agg[how](f"_t_{name}").over(before).alias(f"_b_{name}") for name, (how, _, _) in columns.items()))
+    per = per.select(*(F.col(key).alias(k[key]) for key in keys), F.col(c).alias(k_chunk), *(agg[how](t[name]).over(before).alias(b[name]) for name, (how, _, _) in columns.items()))
     here = Window.partitionBy(*keys, c).orderBy(order)
-    for name, (how, _, own) in columns.items():
-        rows = rows.withColumn(f"_r_{name}", agg[how](f"_v_{name}").over(here.rowsBetween(Window.unboundedPreceding, 0 if own else -1)))
-    on = F.col(c) == F.col("_k_chunk")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    rows = rows.withColumns({r[name]: agg[how](v[name]).over(here.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)) for name, (how, _, itself) in columns.items()})
+    on = F.col(c) == F.col(k_chunk)
+    for key in keys:
+        on = on & (F.col(key) == F.col(k[key]))
     both = rows.join(per, on)
     out = [F.col(x) for x in df.columns]
     for name, (how, _, _) in columns.items():
-        r, b = F.col(f"_r_{name}"), F.col(f"_b_{name}")
-        out.append((F.coalesce(r, F.lit(0)) + F.coalesce(b, F.lit(0)) if how == "sum" else F.greatest(r, b)).alias(name))
+        local, base = F.col(r[name]), F.col(b[name])
+        out.append((F.coalesce(local, F.lit(0)) + F.coalesce(base, F.lit(0)) if how == "sum" else F.greatest(local, base)).alias(name))
     return both.select(*out)
