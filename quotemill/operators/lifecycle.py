@@ -7,9 +7,11 @@ key at hand, not the key's messages.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,14 @@ from ..functions.codec import ADD, CANCEL, EXECUTE, REPLACE
 from ..functions.symbols import MOST_SHARDS, hash_text
 from ..plans.storage import importable
 
+EVICTED = "QueueOverflow"
 UNROUTABLE, NOT_FOUND, DUPLICATE, OVER_EXECUTED = "UnroutableOrderId", "OrderNotFound", "DuplicateOrderId", "ExecutedQuantityExceedsRemaining"
 #: What a message did: one or two changes of a level.
 LEG = "struct<side:int,price:long,d_qty:long,d_count:int>"
 FOLDED = f"arrival_no long, msg_type int, seq_num long, order_id long, new_order_id long, timestamp long, symbol string, shard int, error string, legs array<{LEG}>"
 _LEG = [("side", pa.int32()), ("price", pa.int64()), ("d_qty", pa.int64()), ("d_count", pa.int32())]
+#: When a message came, and when each step was done with it, in nanoseconds; a sink adds the last two.
+TRACE = ["t_received", "t_decoded", "t_demuxed", "t_dequeued", "t_book_updated"]
 _INPUT = ["arrival_no", "msg_type", "seq_num", "order_id", "new_order_id", "timestamp", "symbol", "side", "price", "quantity"]
 
 
@@ -36,8 +41,8 @@ class Fold:
         self.routes: dict[int, str] = {}
         self.resting: dict[tuple[str, int], list] = {}  # (symbol, id) -> [side, price, quantity]
 
-    def apply(self, kind: int, oid: int, new: int | None, symbol: str | None, side: int | None, price: int | None, qty: int | None) -> tuple[str | None, str | None, list[tuple]]:
-        """(symbol, error, legs) of one message."""
+    def apply(self, kind: int, oid: int, new: int | None, symbol: str | None, side: int | None, price: int | None, qty: int | None, evicted: bool = False) -> tuple[str | None, str | None, list[tuple]]:
+        """(symbol, error, legs) of one message. One that its queue evicted is routed, but reaches neither detector nor book."""
         routes, resting = self.routes, self.resting
         if self.routed:
             if kind == ADD:
@@ -51,6 +56,8 @@ class Fold:
                 elif kind == REPLACE:
                     del routes[oid]
                     routes[new] = symbol
+        if evicted:
+            return symbol, EVICTED, []
         at = (symbol, oid)
         order = resting.get(at)
         if kind == ADD:
@@ -90,47 +97,67 @@ def _legs_array(ends: list[int], flat: list[tuple]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), items)
 
 
-def fold(messages: DataFrame, key: str | list[str], *, shards: int = 1, routed: bool = True, order: str = "arrival_no") -> DataFrame:
-    """One row per message, with its symbol, shard, error and legs. ``key`` must hold lineages whole (see ``with_lineage``)."""
+def fold(messages: DataFrame, key: str | list[str], *, shards: int = 1, routed: bool = True, order: str = "arrival_no", trace: bool = False) -> DataFrame:
+    """One row per message, with its symbol, shard, error and legs. ``key`` must hold lineages whole (see ``with_lineage``).
+
+    Messages may hold ``evicted``, as ``retention.overflow`` marks it. ``trace``: adds the clock of each step (``t_received`` of the messages, if they hold it).
+    """
     importable(messages.sparkSession)
     if not 1 <= shards <= MOST_SHARDS:
         raise ValueError(f"shards must be from 1 to {MOST_SHARDS}")
     names = [key] if isinstance(key, str) else key
     keys = [f"_key{i}" for i in range(len(names))]
-    rows = messages.select(*(F.col(c) for c in _INPUT), *(F.col(c).alias(k) for c, k in zip(names, keys, strict=True)))
+    mark = F.col("evicted") if "evicted" in messages.columns else F.lit(False)
+    came = F.col("t_received").cast("long") if "t_received" in messages.columns else F.lit(None).cast("long")
+    rows = messages.select(*(F.col(c) for c in _INPUT), mark.alias("evicted"), *([came.alias("t_received")] if trace else []), *(F.col(c).alias(k) for c, k in zip(names, keys, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last, home = Fold(routed), None, {None: None}
         for batch in batches:
-            col = [batch.column(c).to_pylist() for c in ("msg_type", "order_id", "new_order_id", "symbol", "side", "price", "quantity")]
+            col = [batch.column(c).to_pylist() for c in ("msg_type", "order_id", "new_order_id", "symbol", "side", "price", "quantity", "evicted")]
+            clock = time.time_ns()
+            before, after = [], []
             whole = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
             symbols, errors, ends, flat = [], [], [], []
             for now, *message in zip(whole, *col, strict=True):
                 if now != last:
                     state, last = Fold(routed), now
+                if trace:
+                    before.append(time.time_ns())
                 s, e, legs = state.apply(*message)
+                if trace:
+                    after.append(time.time_ns())
                 symbols.append(s)
                 errors.append(e)
                 flat += legs
                 ends.append(len(flat))
                 if s not in home:
                     home[s] = hash_text(s) % shards
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _INPUT[:6]), pa.array(symbols, pa.string()), pa.array([home[s] for s in symbols], pa.int32()), pa.array(errors, pa.string()), _legs_array(ends, flat)], names=["arrival_no", "msg_type", "seq_num", "order_id", "new_order_id", "timestamp", "symbol", "shard", "error", "legs"])
+            out = [*(batch.column(c) for c in _INPUT[:6]), pa.array(symbols, pa.string()), pa.array([home[s] for s in symbols], pa.int32()), pa.array(errors, pa.string()), _legs_array(ends, flat)]
+            if trace:
+                here = pa.array([clock] * len(after), pa.int64())
+                out += [pc.coalesce(batch.column("t_received"), here), here, pa.array(before, pa.int64()), pa.array(before, pa.int64()), pa.array(after, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=[*_INPUT[:6], "symbol", "shard", "error", "legs", *(TRACE if trace else [])])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, FOLDED)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, FOLDED + "".join(f", {c} long" for c in TRACE if trace))
 
 
 def legs_of(folded: DataFrame) -> DataFrame:
-    """arrival_no, leg, symbol, side, price, d_qty, d_count, seq_num, timestamp, and shard if it is there: the accepted changes."""
-    shard = [c for c in ("shard",) if c in folded.columns]
-    out = folded.select("arrival_no", "symbol", *shard, "seq_num", "timestamp", F.posexplode("legs").alias("leg", "x"))
-    return out.select("arrival_no", "leg", "symbol", "x.side", "x.price", "x.d_qty", "x.d_count", "seq_num", "timestamp", *shard)
+    """arrival_no, leg, symbol, side, price, d_qty, d_count, seq_num, timestamp, and shard and the trace if they are there: the accepted changes."""
+    more = [c for c in ("shard", *TRACE) if c in folded.columns]
+    out = folded.select("arrival_no", "symbol", *more, "seq_num", "timestamp", F.posexplode("legs").alias("leg", "x"))
+    return out.select("arrival_no", "leg", "symbol", "x.side", "x.price", "x.d_qty", "x.d_count", "seq_num", "timestamp", *more)
+
+
+def observed(folded: DataFrame) -> DataFrame:
+    """What reaches a shard's gap detector: routed messages that no queue evicted."""
+    return folded.filter(F.col("error").isNull() | ~F.col("error").isin(UNROUTABLE, EVICTED))
 
 
 def rejects_of(folded: DataFrame) -> DataFrame:
-    """arrival_no, stage, reason: route or book."""
+    """arrival_no, stage, reason: route, queue or book."""
     bad = folded.filter(F.col("error").isNotNull())
-    return bad.select("arrival_no", F.when(F.col("error") == UNROUTABLE, "route").otherwise("book").alias("stage"), F.col("error").alias("reason"))
+    return bad.select("arrival_no", F.when(F.col("error") == UNROUTABLE, "route").when(F.col("error") == EVICTED, "queue").otherwise("book").alias("stage"), F.col("error").alias("reason"))
 
 
 def resting_orders(folded: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import importable
+from ..plans.storage import free_name, importable
 
 CAPACITY = 4096
 
@@ -20,7 +20,8 @@ def retain_newest(df: DataFrame, keys: list[str], order: list[str], capacity: in
     The rank is cut while it is counted, so a key keeps no more than its capacity after the map side.
     """
     newest = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= capacity).drop("_rank")
+    rank = free_name(df.columns, "rank")
+    return df.withColumn(rank, F.row_number().over(newest)).filter(F.col(rank) <= capacity).drop(rank)
 
 
 def dropped(df: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
@@ -29,6 +30,13 @@ def dropped(df: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFra
     return df.groupBy(*keys).agg(n.alias("pushed"), F.least(n, F.lit(capacity)).alias("retained"), F.greatest(n - capacity, F.lit(0)).alias("dropped"))
 
 
+def overflow(rows: DataFrame, keys: list[str], order: str = "arrival_no", capacity: int = CAPACITY, burst: int = CAPACITY) -> DataFrame:
+    """Adds ``evicted``: whether a row is pushed out of its queue. Queues are drained after every ``burst`` numbers of the order column, and keep the newest
+    ``capacity`` rows in between; so work is divided by queue and burst."""
+    newest = Window.partitionBy(*keys, F.floor(F.col(order) / burst)).orderBy(F.col(order).desc())
+    return rows.withColumn("evicted", F.row_number().over(newest) > capacity)
+
+
 def run_queues(ops: DataFrame, queue: str = "queue", order: str = "n", capacity: int | str = CAPACITY) -> DataFrame:
     """Interleaved pushes and pops: queue, n, op, value, popped (of a pop; null if empty), evicted (by a push).
 

@@ -18,7 +18,7 @@ hashed AS (SELECT symbol, i, h AS hash FROM h8),
 dim AS (SELECT symbol AS feed_symbol, i, hash, (hash % 4)::INTEGER AS shard FROM hashed),
 base AS (
   SELECT event_id AS arrival_no, CASE WHEN event_type IN ('signup', 'view') THEN 1 WHEN event_type = 'error' THEN 2 WHEN event_type = 'click' THEN 3 WHEN event_type = 'purchase' THEN 4 END AS msg_type,
-    event_id + 1 AS own_id, user_id AS channel, event_id % 2 AS feed_side, 100 + regexp_extract(props, '(\d+)', 1)::BIGINT % 50 AS feed_price, 10 + event_id % 20 AS qty, 1 + event_id % 15 AS exec_qty, epoch_us(ts) * 1000 AS timestamp
+    event_id + 1 AS own_id, user_id AS channel, event_id % 2 AS feed_side, 2000 + regexp_extract(props, '(\d+)', 1)::BIGINT * 7 % 90 AS feed_price, 5 + event_id * 3 % 28 AS qty, 2 + event_id * 5 % 17 AS exec_qty, epoch_us(ts) * 1000 AS timestamp
   FROM events),
 numbered AS (
   SELECT base.*, feed_symbol, shard, row_number() OVER (PARTITION BY shard ORDER BY arrival_no) AS seq_num,
@@ -67,9 +67,31 @@ observed AS (SELECT arrival_no, shard, seq_num FROM folded WHERE error IS DISTIN
 """
 
 
-def _classified(source: str) -> str:
+#: The same walk behind queues of 12 messages a shard, drained after every 64 arrivals: a channel's newest id may be routed, or rest, or both.
+QUEUED = FOLD + r"""
+marks AS (SELECT arrival_no, row_number() OVER (PARTITION BY shard, arrival_no // 64 ORDER BY arrival_no DESC) > 12 AS evicted FROM observed),
+qord AS (SELECT feed.*, coalesce(evicted, false) AS evicted, row_number() OVER (PARTITION BY channel ORDER BY arrival_no) AS n FROM feed LEFT JOIN marks USING (arrival_no)),
+q AS (
+  SELECT DISTINCT channel, 0::BIGINT AS n, NULL::BIGINT AS arrival_no, NULL::BIGINT AS route, NULL::BIGINT AS rests, NULL::BIGINT AS remaining, NULL::VARCHAR AS error FROM feed
+  UNION ALL
+  SELECT channel, n, arrival_no,
+    CASE WHEN msg_type = 1 THEN order_id WHEN error = 'UnroutableOrderId' THEN route WHEN msg_type = 2 THEN NULL WHEN msg_type = 4 THEN new_order_id
+      WHEN error = 'OrderNotFound' OR (error IS NULL AND quantity = remaining) THEN NULL ELSE route END,
+    CASE WHEN error IS NOT NULL THEN rests WHEN msg_type = 1 THEN order_id WHEN msg_type = 2 OR (msg_type = 3 AND quantity = remaining) THEN NULL WHEN msg_type = 4 THEN new_order_id ELSE rests END,
+    CASE WHEN error IS NOT NULL THEN remaining WHEN msg_type IN (1, 4) THEN quantity WHEN msg_type = 3 THEN remaining - quantity ELSE remaining END,
+    error
+  FROM (
+    SELECT m.channel, m.n, m.arrival_no, m.msg_type, m.order_id, m.new_order_id, m.quantity, s.route, s.rests, s.remaining,
+      CASE WHEN m.msg_type <> 1 AND s.route IS DISTINCT FROM m.order_id THEN 'UnroutableOrderId' WHEN m.evicted THEN 'QueueOverflow' WHEN m.msg_type = 1 THEN NULL
+        WHEN s.rests IS DISTINCT FROM m.order_id THEN 'OrderNotFound' WHEN m.msg_type = 3 AND m.quantity > s.remaining THEN 'ExecutedQuantityExceedsRemaining' END AS error
+    FROM q s JOIN qord m ON m.channel = s.channel AND m.n = s.n + 1)),
+queued AS (SELECT q.arrival_no, q.error, f.feed_shard AS shard, f.seq_num FROM q JOIN feed f USING (arrival_no) WHERE q.n > 0),
+"""
+
+
+def _classified(source: str, before: str = FOLD) -> str:
     """Walks each shard by windows: segments begin at resynchronisations."""
-    return FOLD + f"""
+    return before + f"""
 src AS ({source}),
 seg AS (SELECT *, sum(resync::INTEGER) OVER (PARTITION BY shard ORDER BY arrival_no ROWS UNBOUNDED PRECEDING) AS segment FROM src),
 lastly AS (SELECT *, max(seq_num) OVER (PARTITION BY shard, segment ORDER BY arrival_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_seq FROM seg),
@@ -83,6 +105,7 @@ classified AS (
 
 PLAIN = _classified("SELECT *, false AS resync FROM observed")
 RESYNC = _classified("SELECT arrival_no, shard, CASE WHEN arrival_no % 499 = 7 THEN seq_num - 2 ELSE seq_num END AS seq_num, arrival_no % 499 = 7 AS resync FROM observed")
+BEHIND = _classified("SELECT arrival_no, shard, seq_num, false AS resync FROM queued WHERE error IS NULL OR error NOT IN ('UnroutableOrderId', 'QueueOverflow')", QUEUED)
 LATE = _classified("SELECT arrival_no, shard, CASE WHEN arrival_no % 53 = 0 THEN seq_num - 5 ELSE seq_num END AS seq_num, false AS resync FROM observed")
 
 MESSAGE = "arrival_no, msg_type, seq_num, order_id, new_order_id, symbol, side, price, quantity, timestamp"
@@ -172,3 +195,11 @@ ORACLE_SQL["stream_best_bid_ask"] = ORACLE_SQL["best_bid_ask"]
 ORACLE_SQL["stream_gap_summary"] = ORACLE_SQL["gap_summary"]
 ORACLE_SQL["has_order"] = FOLD + _END + "SELECT id AS order_id FROM legs GROUP BY 1 HAVING sum(d_count) > 0"
 ORACLE_SQL["shard_states"] = PLAIN + "SELECT count(DISTINCT shard) AS shards, count(DISTINCT shard) FILTER (kind = 'Gap') AS shards_with_gaps, count(DISTINCT shard) FILTER (stale) AS shards_stale FROM classified"
+
+ORACLE_SQL["queue_gaps"] = BEHIND + "SELECT shard, arrival_no, expected, seq_num AS got, missing FROM classified WHERE kind = 'Gap'"
+_STAGE = "CASE error WHEN 'UnroutableOrderId' THEN 'route' WHEN 'QueueOverflow' THEN 'queue' ELSE 'book' END AS stage"
+ORACLE_SQL["queue_rejects"] = QUEUED + _END + f"SELECT arrival_no, {_STAGE}, error AS reason FROM queued WHERE error IS NOT NULL"
+ORACLE_SQL["stream_deltas"] = ORACLE_SQL["book_deltas"]
+ORACLE_SQL["stream_rejects"] = FOLD + _END + f"SELECT arrival_no, {_STAGE}, error AS reason FROM folded WHERE error IS NOT NULL UNION ALL SELECT arrival_no, 'decode', 'TruncatedMessage' FROM gen WHERE lost AND NOT before_start"
+ORACLE_SQL["latency_changes"] = TRACE + _END + "SELECT symbol, count(*) AS n, round((avg(end_to_end) - avg(tick_to_book_update)) * 100.0 / avg(tick_to_book_update), 6) AS percent_change, round(sum(end_to_end) / count(*), 4) AS ns_per_delta FROM sample GROUP BY 1"
+ORACLE_SQL["generated_feed"] = "SELECT 8000 AS generated, 8000 AS numbers, 0 AS unaccounted, 0 AS rejected_with_legs, 0 AS levels_different, 0 AS repeated_numbers"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import decode
 from ..operators import gaps as gap_ops
 from ..operators import levels as level_ops
-from ..operators import lifecycle
+from ..operators import lifecycle, retention
 from ..operators.lineage import with_lineage
 
 
@@ -30,7 +30,7 @@ class Batch:
 
     @property
     def routed(self) -> DataFrame:
-        return self.folded.filter(F.col("error").isNull() | (F.col("error") != lifecycle.UNROUTABLE))
+        return lifecycle.observed(self.folded)
 
     @property
     def rejects(self) -> DataFrame:
@@ -61,16 +61,32 @@ class Batch:
         return lifecycle.resting_orders(self.folded)
 
 
-def run_messages(messages: DataFrame, shards: int = 4, key: str | list[str] | None = None) -> Batch:
-    """The pipeline over decoded messages. ``key``: a column that holds lineages whole; without one they are searched for."""
+@dataclass(frozen=True)
+class Queues:
+    """A bounded queue before each shard, drained after every ``burst`` arrivals; the newest ``capacity`` messages in between stay.
+
+    Which messages overflow is decided on the routes that the pipeline without queues finds. An evicted message is routed, but neither observed nor
+    applied: it shows as a sequence gap, and what follows an evicted add finds no order.
+    """
+
+    capacity: int = retention.CAPACITY
+    burst: int = retention.CAPACITY
+
+
+def run_messages(messages: DataFrame, shards: int = 4, key: str | list[str] | None = None, *, queues: Queues | None = None, trace: bool = False) -> Batch:
+    """The pipeline over decoded messages. ``key``: a column that holds lineages whole; without one they are searched for. ``trace``: with the clock of each step."""
     if key is None:
         messages, key = with_lineage(messages), "lineage"
-    return Batch(lifecycle.fold(messages, key, shards=shards))
+    if queues:
+        seen = lifecycle.observed(lifecycle.fold(messages, key, shards=shards)).select("arrival_no", "shard")
+        marked = retention.overflow(seen, ["shard"], capacity=queues.capacity, burst=queues.burst).filter("evicted").select("arrival_no", "evicted")
+        messages = messages.join(marked, "arrival_no", "left").withColumn("evicted", F.coalesce("evicted", F.lit(False)))
+    return Batch(lifecycle.fold(messages, key, shards=shards, trace=trace))
 
 
-def run_packets(packets: DataFrame, shards: int = 4, key: str | None = None) -> Batch:
+def run_packets(packets: DataFrame, shards: int = 4, key: str | None = None, *, queues: Queues | None = None, trace: bool = False) -> Batch:
     """The pipeline over (arrival_no, raw): lost packets are null, and leave no trace but their number."""
     decoded = decode(packets.filter(F.col("raw").isNotNull()))
     good = decoded.filter(F.col("decode_error").isNull())
-    batch = run_messages(good, shards, key)
+    batch = run_messages(good, shards, key, queues=queues, trace=trace)
     return Batch(batch.folded, decoded.filter(F.col("decode_error").isNotNull()))

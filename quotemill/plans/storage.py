@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +58,39 @@ def unshare(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.shared_path)  # type: ignore[attr-defined]
 
 
+_shipped: set[str] = set()
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it only on its own path."""
+    """Lets Python workers import this package: by the driver's own path where they run beside it, else as a zip in the shared folder that Spark hands to executors."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in (os.environ.get("PYTHONPATH", "") + os.pathsep + env.get("PYTHONPATH", "")).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    app = spark.sparkContext.applicationId
+    if app not in _shipped and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
+        _shipped.add(app)
+        spark.sparkContext.addPyFile(_zipped(spark, root))
+
+
+def _zipped(spark: SparkSession, root: str) -> str:
+    """This package as a zip in the shared folder."""
+    data = io.BytesIO()
+    name = __name__.split(".")[0]
+    with zipfile.ZipFile(data, "w") as out:
+        for folder, _, files in sorted(os.walk(os.path.join(root, name))):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    out.write(path, os.path.relpath(path, root))
+    place = f"{shared_root(spark)}/{name}.zip"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        stream.write(bytearray(data.getvalue()))
+    finally:
+        stream.close()
+    return place
 
 
 def free_name(taken: Iterable[str], base: str) -> str:

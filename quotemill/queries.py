@@ -13,7 +13,7 @@ from .functions import codec, rendering
 from .functions.symbols import add_shard, shard_of, symbol_hash
 from .operators import gaps, latency, levels, lifecycle, lineage, retention
 from .oracle import ORACLE_SQL
-from .plans.pipeline import Batch, run_messages, run_packets
+from .plans.pipeline import Batch, Queues, run_messages, run_packets
 from .plans.storage import importable, shared, shared_root
 from .sources import events_feed
 from .streaming import pipeline as streams
@@ -242,6 +242,20 @@ def duplicate_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- queues, latency, counters ----
 
+def _queued(spark: SparkSession, sf_dir: str) -> Batch:
+    """Queues of 12 messages a shard, drained after every 64 arrivals."""
+    return run_messages(events_feed.messages(spark, sf_dir), events_feed.SHARDS, "channel", queues=Queues(12, 64))
+
+
+@query
+def queue_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.gap_events(_queued(spark, sf_dir).gaps)
+
+
+@query
+def queue_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queued(spark, sf_dir).rejects
+
 @query
 def drop_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_shard(events_feed.messages(spark, sf_dir).filter("symbol is not null"), events_feed.SHARDS)
@@ -291,6 +305,14 @@ def wall_time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 6))
 
 
+@query
+def latency_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much publication lengthens the mean way to the book, and nanoseconds a delta."""
+    made = latency.intervals(_trace(batch(spark, sf_dir).legs)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("tick_to_book_update").alias("base"), F.avg("end_to_end").alias("whole"), F.sum("end_to_end").alias("total"))
+    change, each = latency.percent_change(F.col("base"), F.col("whole")), latency.per_message(F.col("total") / 1e9, F.col("n"))
+    return made.select("symbol", "n", F.round(change, 6).alias("percent_change"), F.round(each, 4).alias("ns_per_delta"))
+
+
 @query
 def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = events_feed.generated(spark, sf_dir).filter("not before_start").agg(F.count(F.lit(1)).alias("generated"), F.count_if("lost").alias("lost"))
@@ -302,19 +324,29 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def generated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seeded generator through the whole pipeline: levels per channel's symbols. Its numbers are its own, so there is no SQL."""
+    """The seeded generator through the whole pipeline, by what must hold for any numbers: every packet is accounted for, deltas replay to the book, no channel repeats a number."""
     from .sources.generator import FeedSource
 
     spark.dataSource.register(FeedSource)
-    packets = spark.read.format("order_feed").option("symbols", "AAPL,MSFT,GOOG,AMZN,TSLA,NFLX,META,NVDA").option("channels", 4).option("messages", 2000).option("loss", 0.01).option("seed", 777).load()
-    return run_packets(packets, 4, "channel").levels
+    options = {"symbols": "AAPL,MSFT,GOOG,AMZN,TSLA,NFLX,META,NVDA", "channels": 4, "messages": 2000, "loss": 0.01, "seed": 777}
+    packets = shared(spark.read.format("order_feed").options(**options).load(), "packets")
+    made = run_packets(packets, 4, "channel")
+    sent = packets.agg(F.count(F.lit(1)).alias("generated"), F.count_if(F.col("raw").isNull()).alias("lost"), F.countDistinct("arrival_no").alias("numbers"))
+    done = made.folded.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("error").isNotNull() & (F.size("legs") > 0)).alias("rejected_with_legs"))
+    differ = levels.replay_difference(made.deltas, made.levels).agg(F.count(F.lit(1)).alias("levels_different"))
+    backwards = made.gaps.agg(F.count_if(F.col("kind") == "Duplicate").alias("repeated_numbers"))
+    whole = sent
+    for one in (done, differ, backwards):  # one row each
+        whole = whole.crossJoin(F.broadcast(one))
+    return whole.select("generated", "numbers", (F.col("generated") - F.col("lost") - F.col("messages")).alias("unaccounted"), "rejected_with_legs", "levels_different", "repeated_numbers")
 
 
 # ---- streams ----
 
-def _streamed_messages(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
-    """The feed as a stream of files, in arrival order."""
-    rows = shared(events_feed.messages(spark, sf_dir), "feed")
+def _streamed(rows: DataFrame, batches: int = 2) -> DataFrame:
+    """Rows as a stream of files, in arrival order."""
+    spark = rows.sparkSession
+    rows = shared(rows, "feed")
     path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     last = rows.agg(F.max("arrival_no")).first()[0] or 0
     for k in range(batches):
@@ -323,6 +355,10 @@ def _streamed_messages(spark: SparkSession, sf_dir: str, batches: int = 2) -> Da
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _streamed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(events_feed.messages(spark, sf_dir))
+
+
 def _drained(stream: DataFrame) -> DataFrame:
     """All that a stream puts out, as a table."""
     spark = stream.sparkSession
@@ -342,7 +378,22 @@ def stream_best_bid_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = add_shard(spark.createDataFrame([(f"SYM{i:02d}",) for i in range(16)], "symbol string"), events_feed.SHARDS)
-    done = _drained(streams.gaps(streams.observed(streams.folded(_streamed_messages(spark, sf_dir)), seen)))
+    done = _drained(streams.gaps(streams.observed(streams.folded(_streamed_messages(spark, sf_dir)))))
     missing = F.when(F.col("kind") == "Gap", F.col("seq_num") - F.col("last_seq") - 1)
     return gaps.gap_summary(done.withColumn("missing", missing))
+
+
+@query
+def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deltas of one global feed, whose channels the stream doesn't know."""
+    done = _drained(streams.deltas(streams.folded(_streamed_messages(spark, sf_dir), None)))
+    return done.select("arrival_no", "leg", "symbol", "shard", "side", "price", "total_quantity", "order_count", "seq_num", "timestamp")
+
+
+@query
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects of a stream of packets, where those that the feed loses come cut short."""
+    sent = codec.encode(events_feed.generated(spark, sf_dir).filter("not before_start"))
+    raw = F.when(F.col("lost"), F.substring("raw", 1, 20)).otherwise(F.col("raw"))
+    packets = _streamed(sent.select("arrival_no", "channel", raw.alias("raw")))
+    return _drained(streams.rejects(streams.folded(streams.messages_of(packets)), streams.undecodable_of(packets)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from model import Model, shard_of
 from quotemill.functions import codec, rendering
 from quotemill.functions.symbols import add_shard, hash_text, make_symbol, symbol_hash, symbol_view
-from quotemill.operators import gaps, latency, levels, lifecycle, lineage, prefix, retention
+from quotemill.operators import components, gaps, latency, levels, lifecycle, lineage, prefix, retention
 from quotemill.plans.pipeline import run_messages, run_packets
 from quotemill.sources import generator, sinks
 
@@ -166,6 +166,7 @@ def test_adversarial_feeds(spark, seed):
                 rows.append(cancel(n, oid))
     model = Model(4).run(dicts(rows))
     batch = run_messages(frame(spark, rows), 4).persisted()
+    assert Counter(levels.deltas(batch.legs, 7).collect()) == Counter(batch.deltas.collect())
     assert sorted((x.arrival_no, x.symbol, x.error) for x in batch.folded.collect()) == sorted(model.status)
     assert sorted((x.arrival_no, x.leg, x.symbol, x.side, x.price, x.total_quantity) for x in batch.deltas.collect()) == sorted(model.deltas)
     resting = {(s, i): (o["side"], o["price"], o["qty"]) for s, b in model.books.items() for i, o in b.items()}
@@ -179,6 +180,17 @@ def test_lineages_and_replace_tree(spark):
     chain = [add(1, 1, 0, 5, 5)] + [replace(k + 1, k, k + 1, 5, 5) for k in range(1, 40)] + [add(100, 500, 0, 5, 5)]
     got = {r.arrival_no: r.lineage for r in lineage.with_lineage(frame(spark, chain)).collect()}
     assert set(got.values()) == {1, 500}
+    r = random.Random(8)
+    links = [(a, a + r.choice([0, 3, 6, 300])) for a in (r.randrange(400) for _ in range(300))] + [(None, 4), (4, None)]
+    parent = {x: x for p in links for x in p}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in links:
+        if a is not None and b is not None:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    want = {x: find(x) for a, b in links if a is not None and b is not None and a != b for x in (a, b)}
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(5))
+    assert {x.node: x.component for x in found.collect()} == want
     tree = {r.order_id: (r.root_id, r.depth) for r in lineage.replace_tree(frame(spark, chain)).collect()}
     assert tree == {k: (1, k - 1) for k in range(1, 41)}
 
@@ -203,8 +215,10 @@ def test_gap_sequences(spark, chunk):
 def test_running_aggregates_over_chunks(spark):
     r = random.Random(4)
     rows = [(k, n, r.randrange(100)) for k in "ab" for n in r.sample(range(500), 200)]
-    df = spark.createDataFrame(rows, "k string, n long, v long")
-    got = prefix.running(df, ["k"], "n", {"s": ("sum", F.col("v"), True), "m": ("max", F.col("v"), False)}, chunk=37).collect()
+    df = spark.createDataFrame(rows, "k string, n long, v long").withColumn("chunk", F.lit("own")).withColumn("_k_chunk", F.lit(0))
+    made = prefix.running(df, ["k"], "n", {"s": ("sum", F.col("v"), True), "m": ("max", F.col("v"), False)}, chunk=37)
+    assert made.columns == [*df.columns, "s", "m"]
+    got = made.collect()
     for x in got:
         before = [v for k, n, v in rows if k == x.k and n < x.n]
         assert x.s == sum(before) + x.v and x.m == (max(before) if before else None)
@@ -254,6 +268,7 @@ def test_nearest_rank_percentiles(spark, n):
     got = {r.stage: r for r in latency.statistics(spark.createDataFrame(rows, ", ".join(f"{s} long" for s in stamps))).collect()}
     values = [i * 60 for i in range(1, n + 1)]
     rank = lambda p: values[min(n, max(1, -(-int(p * 1000) * n // 1000))) - 1]
+    assert got == {r.stage: r for r in latency.statistics(spark.createDataFrame(rows, ", ".join(f"{s} long" for s in stamps)), chunk=70).collect()}
     r = got["end_to_end"]
     assert (r.n, r.p50, r.p99, r.p999, r.max) == (n, rank(0.5), rank(0.99), rank(0.999), n * 60) and r.mean == sum(values) / n
     kept = []
@@ -263,39 +278,56 @@ def test_nearest_rank_percentiles(spark, n):
 
 # ---- generator ----
 
-def test_generator(spark):
-    make = lambda **o: generator.Feed(["AAPL", "MSFT", "GOOG"], seed=123, **o)
-    sent = list(make(messages=5000).packets())
+def test_generator():
+    def make(**o):
+        return generator.Feed(("AAPL", "MSFT", "GOOG"), seed=123, **o)
+
+    sent = list(make(messages=5000, block=700).packets())
     assert len(sent) == 5000 and None not in sent
-    seen = {}
+    home, seen, kinds = {}, {}, Counter()
     for raw in sent:
-        seq = struct.unpack_from("<Q", raw, 3)[0]
-        kind = raw[0]
-        oid = struct.unpack_from("<Q", raw, 11)[0]
+        kind, _, seq, oid = struct.unpack_from("<BHQQ", raw)
+        kinds[kind] += 1
         if kind == 1:
-            symbol = raw[19:27].rstrip(b"\0").decode()
-            seen[oid] = symbol
+            assert oid not in home
+            home[oid] = raw[19:27].rstrip(b"\0").decode()
         elif kind == 4:
-            seen[struct.unpack_from("<Q", raw, 19)[0]] = seen[oid]
-        seen.setdefault(("seq", shard_of(seen[oid], 4)), []).append(seq)
-    assert all(x == list(range(1, len(x) + 1)) for k, x in seen.items() if isinstance(k, tuple))
-    lossy = make(messages=20_000, loss=0.1)
-    assert 0.08 < sum(x is None for x in lossy.packets()) / 20_000 < 0.12 and lossy.lost + sum(1 for _ in []) == lossy.lost
+            home[struct.unpack_from("<Q", raw, 19)[0]] = home[oid]
+        seen.setdefault(shard_of(home[oid], 4), []).append(seq)
+    assert all(x == list(range(1, len(x) + 1)) for x in seen.values())
+    assert 0.48 < kinds[1] / 5000 < 0.54 and all(abs(kinds[k] / 5000 - p) < 0.03 for k, p in generator.MIX.items())
+    lost = sum(x is None for x in make(messages=20_000, loss=0.1).packets())
+    assert 0.08 < lost / 20_000 < 0.12
     assert list(make(messages=500, loss=0.05).packets()) == list(make(messages=500, loss=0.05).packets())
+    assert [x for x in make(messages=900, loss=0.3, block=100).make(4).packets().to_pylist() if x] == [x for x in list(make(messages=900, loss=0.3, block=100).packets())[400:500] if x]
+    for wrong in ({"shards": 17}, {"loss": 2}):
+        with pytest.raises(ValueError):
+            generator.Feed(("A",), **wrong)
     with pytest.raises(ValueError):
-        generator.Feed(["A"], shards=17)
+        generator.Feed(())
 
 
 def test_generated_feed_through_the_pipeline(spark):
     spark.dataSource.register(generator.FeedSource)
-    packets = spark.read.format("order_feed").option("messages", 1500).option("loss", 0.02).option("seed", 9).option("channels", 2).load()
+    packets = spark.read.format("order_feed").option("symbols", "AAPL,MSFT,GOOG,AMZN,TSLA").option("messages", 1500).option("loss", 0.02).option("seed", 9).option("channels", 2).load()
     rows = [(r.channel, r.arrival_no, bytes(r.raw) if r.raw else None) for r in packets.collect()]
     batch = run_packets(spark.createDataFrame(rows, "channel int, arrival_no long, raw binary"), 4, "channel")
     sent = codec.decode(spark.createDataFrame([x for x in rows if x[2]], "channel int, arrival_no long, raw binary")).collect()
     model = Model(4).run([r.asDict() for r in sent])
     assert sorted((x.arrival_no, x.symbol, x.error) for x in batch.folded.collect()) == sorted(model.status)
     assert levels.replay_difference(batch.deltas, batch.levels).count() == 0
-    assert len(rows) == 3000 and batch.folded.count() + sum(x[2] is None for x in rows) == 3000
+    assert len(rows) == 3000 == len({x[1] for x in rows}) and batch.folded.count() + sum(x[2] is None for x in rows) == 3000
+
+
+def test_generated_ranges(spark):
+    """Any range of a feed is the same rows, whatever it is cut into."""
+    options = {"symbols": "AAPL,MSFT,GOOG,AMZN", "messages": "20000", "channels": "2", "loss": "0.01", "seed": "3"}
+
+    def rows(start, end):
+        return [tuple(x.values()) for part in generator._ranges(options, start, end) for batch in generator._read(options, part) for x in batch.to_pylist()]
+
+    whole = rows(0, 20_000)
+    assert len(whole) == 40_000 and sorted(rows(0, 8_000) + rows(8_000, 8_300) + rows(8_300, 8_300) + rows(8_300, 20_000), key=lambda r: r[1]) == sorted(whole, key=lambda r: r[1])
 
 
 # ---- streams ----
@@ -310,10 +342,10 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     source, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
     schema = "channel int, arrival_no long, raw binary"
     for k in range(2):  # the second run goes on where the first ended
-        packets.filter(((F.col("arrival_no") % 600) < 300) == (k == 0)).coalesce(1).write.mode("append").parquet(source)
+        packets.filter((F.col("arrival_no") < 600) == (k == 0)).coalesce(1).write.mode("append").parquet(source)
         stream = streams.deltas(streams.folded(streams.messages_of(spark.readStream.schema(schema).parquet(source))))
         streams.start(stream, lambda b: b.write.mode("append").parquet(out), checkpoint=state, partitions=2).awaitTermination()
-    pick = ["arrival_no", "leg", "symbol", "side", "price", "total_quantity", "order_count"]
+    pick = ["arrival_no", "leg", "symbol", "shard", "side", "price", "total_quantity", "order_count"]
     got = spark.read.parquet(out).select(*pick)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.select(*pick).collect()))
 
@@ -322,8 +354,83 @@ def test_generator_streams_and_drains(spark):
     from quotemill.streaming import pipeline as streams
 
     spark.dataSource.register(generator.FeedSource)
-    options = {"messages": 300, "seed": 5, "perBatch": 150}
+    options = {"messages": 300, "seed": 5, "perSecond": 100_000, "began": 0}
     seen = []
     with streams.running(streams.folded(streams.messages_of(spark.readStream.format("order_feed").options(**options).load())), lambda b: seen.append(b.count()), partitions=2) as query:
         assert query.isActive
     assert sum(seen) == 300 and not query.isActive
+
+
+def test_streamed_sinks_resync_and_counters(spark, tmp_path):
+    """A global feed: shards on deltas for sinks, rejects with undecodable packets, resynchronisation, counters while it runs."""
+    from quotemill.streaming import metrics
+    from quotemill.streaming import pipeline as streams
+
+    spark.dataSource.register(generator.FeedSource)
+    options = {"symbols": "AAPL,MSFT,GOOG,AMZN,META", "messages": 200, "seed": 6, "channels": 2, "loss": 0.05}
+    rows = [(r.arrival_no, bytes(r.raw)[: 9 if r.arrival_no % 50 == 0 else 99] if r.raw else None) for r in spark.read.format("order_feed").options(**options).load().collect()]
+    packets = spark.createDataFrame(rows, "arrival_no long, raw binary")
+    want = run_packets(packets, 4)
+    source = f"file://{tmp_path}/in"
+    packets.coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema(packets.schema).parquet(source)
+    counters = metrics.Counters()
+    spark.streams.addListener(counters)
+    fold = lambda: metrics.counted(streams.folded(streams.messages_of(stream()), None))
+    sink = sinks.per_shard({1: sinks.table_sink(f"file://{tmp_path}/one")}, sinks.file_sink(f"file://{tmp_path}/lines", "append"))
+    streams.start(streams.deltas(fold()), sink, partitions=2).awaitTermination()
+    made = want.deltas.groupBy("shard").count().collect()
+    lines = {r.shard: r["count"] for r in spark.read.text(f"file://{tmp_path}/lines").groupBy("shard").count().collect()}
+    lines[1] = spark.read.parquet(f"file://{tmp_path}/one").count()
+    assert lines == {r.shard: r["count"] for r in made}
+    bad = []
+    streams.start(streams.rejects(streams.folded(streams.messages_of(stream()), None), streams.undecodable_of(stream())), lambda b: bad.extend(map(tuple, b.collect())), partitions=2).awaitTermination()
+    assert Counter(bad) == Counter(map(tuple, want.rejects.collect())) and any(r[1] == "decode" for r in bad)
+    control = spark.createDataFrame([(1, 150, 5), (3, 250, 400)], "shard int, arrival_no long, seq_num long")
+    control.coalesce(1).write.parquet(f"file://{tmp_path}/control")
+    controls = spark.readStream.schema(control.schema).parquet(f"file://{tmp_path}/control")
+    got = []
+    seen = streams.gaps(streams.observed(streams.folded(streams.messages_of(stream()), None), controls))
+    streams.start(metrics.counted_gaps(seen), lambda b: got.extend(b.collect()), partitions=2).awaitTermination()
+    both = want.routed.select("shard", (F.col("arrival_no") * 2).alias("arrival_no"), "seq_num", F.lit(False).alias("resync")).unionByName(control.select("shard", (F.col("arrival_no") * 2 + 1).alias("arrival_no"), "seq_num", F.lit(True).alias("resync")))
+    batch = gaps.classify(both).collect()
+    assert Counter((r.shard, r.seq_num, r.last_seq, r.kind, r.stale, r.gaps_total) for r in got) == Counter((r.shard, r.seq_num, r.last_seq, r.kind, r.stale, r.gaps_total) for r in batch)
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(counters)
+    feed = counters.totals["feed"]
+    assert feed["messages"] == want.folded.count() and feed["deltas"] == want.deltas.count() and counters.totals["gaps"]["gaps"] == sum(r.kind == "Gap" for r in batch)
+
+
+def test_queues_in_the_pipeline(spark):
+    """Evicted messages are routed, but show as gaps; what follows an evicted add finds no order."""
+    from quotemill.plans.pipeline import Queues
+
+    rows = [add(n, n, 0, 100, 10) for n in range(10, 16)] + [cancel(16, 10), execute(17, 15, 4), execute(20, 11, 5), cancel(21, 14), replace(22, 15, 40, 101, 3), cancel(23, 40)]
+    batch = run_messages(frame(spark, rows), 1, queues=Queues(4, 10)).persisted()
+    # Arrivals 10 to 19 are one burst of 8: 10 to 13 are evicted.
+    assert sorted(map(tuple, batch.rejects.collect())) == [(n, "queue", "QueueOverflow") for n in range(10, 14)] + [(16, "book", "OrderNotFound"), (20, "book", "OrderNotFound")]
+    assert [(r.expected, r.got) for r in gaps.gap_events(batch.gaps).orderBy("arrival_no").collect()] == [(18, 20)]
+    assert {(r.order_id, r.remaining) for r in batch.resting.collect()} == set()
+    assert {r.order_id for r in lifecycle.routed_ids(batch.folded).collect()} == {12, 13}
+    whole = run_messages(frame(spark, rows), 1, queues=Queues(8, 10))
+    assert whole.rejects.count() == 0
+
+
+def test_traces(spark):
+    rows = frame(spark, BOOK).withColumn("t_received", F.col("arrival_no") * 1000)
+    kept = []
+    sinks.latency_recording(sinks.null_sink, lambda d: kept.extend(d.collect()))(run_messages(rows, 4, trace=True).deltas)
+    assert len(kept) == 10 and all(r.t_received == r.arrival_no * 1000 and r.t_received <= r.t_decoded <= r.t_demuxed <= r.t_book_updated <= r.t_delta_dequeued <= r.t_published for r in kept)
+    assert all(r.end_to_end == r.t_published - r.t_received and r.book_update >= 0 for r in kept)
+
+
+def test_changes_and_rates(spark):
+    df = spark.createDataFrame([(100.0, 110.0, 2.0, 1000), (0.0, 5.0, 1.0, 0)], "a double, b double, s double, n long")
+    got = df.select(latency.percent_change(F.col("a"), F.col("b")).alias("p"), latency.per_message(F.col("s"), F.col("n")).alias("r")).collect()
+    assert [tuple(r) for r in got] == [(10.0, 2_000_000.0), (None, None)]
+
+
+def test_console_sink(spark, capsys):
+    df = spark.createDataFrame([(0, 1, 0, "AAPL", 0, 10000, 150, 42, 12345)], DELTA)
+    sinks.console_sink()(df)
+    assert "seq=42 ts=12345 symbol=AAPL side=BUY price=10000 qty=150" in capsys.readouterr().out
