@@ -51,8 +51,8 @@ def as_bytes(name: str) -> Column:
 
 # ---- ranks within groups, without one task per group ----
 
-#: Rows of one bucket of ranks, about.
-PER_BUCKET = 1_000_000
+#: Rows of one bucket of ranks, about; buckets that a table has at least, so that a table of any size is the work of many tasks.
+PER_BUCKET, LEAST_BUCKETS = 1_000_000, 64
 
 
 def salted(df: DataFrame, name: str, *key: str) -> DataFrame:
@@ -68,7 +68,7 @@ def ranks_in_groups(table: DataFrame, group: str, salt: str, name: str, per_buck
     rows are the work of one task. The counts are at most groups x buckets rows.
     """
     b, n, base = (free_name(table.columns, x) for x in ("bucket", "count", "base"))
-    buckets = max(1, -(-table.count() // per_bucket))
+    buckets = max(LEAST_BUCKETS, -(-table.count() // per_bucket))
     spread = table.withColumn(b, F.pmod(F.col(salt), F.lit(buckets)))
     counts = spread.groupBy(group, b).agg(F.count(F.lit(1)).alias(n))
     bases = counts.withColumn(base, F.sum(n).over(Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))).select(
