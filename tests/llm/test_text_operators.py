@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -111,15 +114,40 @@ def test_substring_dedup_repeated_rows(spark, most):
     assert Counter(tuple(x) for x in got) == brute_dedup(odd, 50)
 
 
+def test_substring_dedup_of_many_equal_rows(spark):
+    r = random.Random(3)
+    text = " ".join(r.choice("abcdefgh") for _ in range(60))
+    rows = [(5, text + " tail")] * 10_000 + [(k, f"head{k} {text}") for k in range(8)]
+    docs = substring_dedup._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    want = docs.limit(1).select("doc", "row", F.array(F.struct(F.lit(1).cast("long").alias("key"), F.lit(2).cast("long").alias("content"), F.lit(0 * 128 + 3).cast("long").alias("place"))).alias("want"))
+    assert substring_dedup._packed(docs, want, 50).count() == 1
+    assert Counter(tuple(x) for x in substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_dedup(rows, 50)
+
+
 # ---- 2 ----
 
+def brute_pack(histogram, length):
+    """Piece by piece, longest first, into the shortest open pack; what that does not take opens a pack each. How many packs have each fill."""
+    packs = []
+    for size in sorted(histogram, reverse=True):
+        left = histogram[size]
+        while left:
+            least = min((k for k, f in enumerate(packs) if f < length), key=packs.__getitem__, default=None)
+            if least is None or packs[least] + size > length:
+                break
+            packs[least] += size
+            left -= 1
+        packs += [size] * left
+    return Counter(packs)
+
+
 def test_packing_pattern_counts():
     for s in range(100):
         r = random.Random(s)
         histogram = {x: r.randint(1, 30) for x in r.sample(range(1, 64), r.randint(1, 40))}
         made = packing.pack(histogram, 64)
         assert all(sum(x) <= 64 and n > 0 for n, x in made)
-        assert Counter({k: v for n, x in made for k, v in Counter(x).items() for n in [0]}) is not None
+        assert Counter(f for n, x in made for f in [sum(x)] * n) == brute_pack(histogram, 64)
         total = Counter()
         for n, x in made:
             for size in x:
@@ -132,7 +160,8 @@ def test_fast_encoder_gives_the_ids_of_tokenizers():
 
     slow = Tokenizer.from_file(TOKENIZER)
     r = random.Random(1)
-    texts = [t or "" for _, t in odd_rows()] + ["".join(chr(r.choice([32, 10, 9, 39, 65, 97, 48, 0xE9, 0xDF, 0x4E2D, 0x1F600, 0xA0, 0x85, 33, 45])) for _ in range(r.randint(1, 80))) for _ in range(500)]
+    texts = [t or "" for _, t in odd_rows()] + ["".join(chr(r.randrange(0x20000)) for _ in range(r.randint(1, 12))).encode("utf-8", "ignore").decode() for _ in range(2000)]
+    texts += ["".join(chr(r.choice([32, 10, 9, 39, 65, 97, 48, 0xE9, 0xDF, 0x4E2D, 0x1F600, 0xA0, 0x85, 33, 45])) for _ in range(r.randint(1, 80))) for _ in range(500)]
     assert packing.encoder(TOKENIZER)(texts) == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -232,6 +261,140 @@ def test_html_rules_hold_on_marked_pages():
     assert html_extract.extract(page).split("\n") == [dense.strip(), "Brief.", dense.strip()]
 
 
+class PlainBlocks(HTMLParser):
+    """Blocks of well-formed pages, by the library's parser: (text, characters in links, barred, inside, heading)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.stack, self.skip = [], [("", False, 0)], None
+        self.fresh()
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def fresh(self):
+        self.text, self.links, self.link, self.own, self.head = "", 0, False, False, False
+
+    def flush(self):
+        if joined := " ".join(self.text.split()):
+            self.blocks.append((joined, min(self.links, len(joined)), self.stack[-1][1] or self.own, self.stack[-1][2], self.head))
+        self.fresh()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text += data
+            self.links += len(" ".join(data.split())) if self.link else 0
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip:
+            return
+        if tag in html_extract.RAW_ELEMENTS | html_extract.DROPPED_ELEMENTS:
+            self.skip = tag
+            return
+        self.text += " " if tag in ("br", "hr") else ""
+        self.link = True if tag == "a" else self.link
+        if tag not in html_extract.BLOCKS:
+            return
+        self.flush()
+        written = "".join(f' {k}="{v or ""}"' for k, v in attrs)
+        if tag in html_extract.CONTAINERS:
+            if tag == "li" and "li" in [t for t, *_ in self.stack]:
+                k = max(i for i, x in enumerate(self.stack) if x[0] == "li")
+                if not any(t in ("ul", "ol", "menu") for t, *_ in self.stack[k:]):
+                    del self.stack[k:]
+            self.stack.append((tag, *html_extract._region(tag, written, *self.stack[-1][1:])))
+        else:
+            self.own, self.head = html_extract._region(tag, written, False, self.stack[-1][2])[0] if attrs else False, tag[0] == "h" and tag[1:].isdigit()
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            self.skip = None if tag == self.skip else self.skip
+            return
+        self.link = False if tag == "a" else self.link
+        if tag in html_extract.BLOCKS:
+            self.flush()
+            k = max((i for i, x in enumerate(self.stack) if x[0] == tag), default=0)
+            if k and tag in html_extract.CONTAINERS:
+                del self.stack[k:]
+
+
+def plain_labels(blocks):
+    """The two passes, block by block, with a walk to the nearest decided neighbours."""
+    least = max((b.inside for b in blocks if not b.barred), default=0)
+    where = [0 if not least else 1 if b.inside == least else 0 if b.inside else -1 for b in blocks]
+
+    def first(b, w):
+        share, n = b.links / len(b.text), len(b.text)
+        if b.barred or share > 0.5 and not (w > 0 and share <= 0.8):
+            return "bad"
+        if share > 0.5:
+            return "brief"
+        if n < 70:
+            return "bad" if share > 0.2 and w <= 0 else "brief"
+        stops = html_extract.stop_density(b.text)
+        if stops >= 0.2:
+            return "good" if w > 0 or stops >= 0.3 and n > 200 else "near"
+        if b.links:
+            return "brief" if w > 0 else "bad"
+        return "near" if n > 200 else "brief"
+
+    one = [first(b, w) for b, w in zip(blocks, where, strict=True)]
+    out = []
+    for i, label in enumerate(one):
+        if label in ("near", "brief"):
+            def known(j, i=i):
+                return one[j] in ("good", "bad") and not blocks[j].barred and (where[i] <= 0 or where[j] > 0 or one[j] == "good")
+
+            before = next((j for j in range(i - 1, -1, -1) if known(j)), None)
+            after = next((j for j in range(i + 1, len(blocks)) if known(j)), None)
+            x, y = (None if j is None else one[j] for j in (before, after))
+            if where[i] < 0:
+                label = "good" if x == y == "good" else "bad"
+            elif x is None and y is None:
+                label = "good"
+            elif x is None or y is None or x == y:
+                label = x or y
+                if where[i] > 0 and label == "bad" and None in (x, y) and not (blocks[i].heading and y == "bad"):
+                    label = "good"
+            elif label == "near":
+                label = "good"
+            elif blocks[i].heading:
+                label = y
+            else:
+                label = "good" if i - before == after - i else x if i - before < after - i else y
+        out.append(label == "good")
+    return out
+
+
+def test_html_against_a_plain_version():
+    import pyarrow.parquet as pq
+
+    pages = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if x] + [PAGE]
+    by = Counter()
+    for page in pages:
+        blocks = html_extract.blocks_of(page)
+        assert [(b.text, b.links, b.barred, b.inside, b.heading) for b in blocks] == PlainBlocks(page).blocks
+        assert html_extract.classify(blocks) == plain_labels(blocks)
+        by.update(html_extract.passes(blocks))
+    assert min(by["alone"], by["neighbours"]) > len(pages)  # both passes decide
+    r = random.Random(6)
+    words_of = {k: v.split() for k, v in html_extract.STOP_WORDS.items()} | {"none": [f"x{i}" for i in range(50)]}
+    for _ in range(300):
+        blocks = []
+        for _ in range(r.randint(1, 12)):
+            text = " ".join(r.choice(words_of[r.choice(["en", "de", "none"])]) for _ in range(r.choice([1, 5, 20, 60])))
+            blocks.append(html_extract.Block(text, r.choice([0, 0, len(text) // 4, int(len(text) * 0.7), len(text)]), r.random() < 0.15, r.choice([0, 0, 1, 2]), r.random() < 0.2))
+        assert html_extract.classify(blocks) == plain_labels(blocks)
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<script " * 125_000, "<div>" * 200_000, "<div " * 200_000, "<div>" * 100_000 + "</section>" * 50_000, "<a '<b \"" * 100_000, "<ul><li>" * 100_000, "<button>" * 100_000, "<!-- " * 200_000, "&#" + "9" * 900_000 + ";", "<p>x" * 200_000])
+def test_html_time_follows_the_page(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 4
+    assert html_extract.extract("<p>a&#0000000065;&#x110000;&#99999999999;<p>b" + page).startswith("aA��")
+
+
 # ---- 5 ----
 
 def brute_lm(rows, order=2):
@@ -462,6 +625,62 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.drop_leaks(odd, items).count() == len(odd_rows())
 
 
+def brute_leaks(rows, items):
+    """(doc_id, item_id) by every passage and item: BM25 as a share of the item's own, then both overlaps."""
+    split = [(i, w, decontaminate.answer_words(t)) for i, t in items if (w := decontaminate.normal_words(t))]
+    mean = sum(len(w) for _, w, _ in split) / len(split)
+    freq = Counter(x for _, w, _ in split for x in set(w))
+    out = Counter()
+    for d, t in rows:
+        words = decontaminate.normal_words(t)
+        for i, w, answer in split:
+            impact = {x: math.log(1 + (len(split) - freq[x] + 0.5) / (freq[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in Counter(w).items()}
+            cell = 64
+            while cell < len(w):
+                cell *= 2
+            size = min(5, len(w))
+            grams = lambda y: {tuple(y[k : k + size]) for k in range(len(y) - size + 1)}  # noqa: B023, E731
+            for at in range(0, max(1, len(words)), cell):
+                passage = words[at : at + 2 * cell]
+                score = sum(v for x, v in impact.items() if x in passage) / sum(impact.values())
+                if score >= 0.6 - 1e-9 and len(grams(w) & grams(passage)) >= 0.8 * len(grams(w)) and len(set(answer) & set(passage)) >= 0.8 * len(set(answer)):
+                    out[d, i] += 1
+                    break
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(300)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, f"{prose(r.randint(8, 40))}. {prose(r.randint(2, 12))}.") for i in range(25)] + [(90, prose(150)), (91, prose(70) + ". " + prose(9))]
+    rows = []
+    for d in range(60):
+        text = prose(r.randint(0, 250))
+        for _, item in r.sample(items, r.randint(0, 3)):
+            w = item.split()
+            for _ in range(r.choice([0, 0, 1, 3, 6])):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            text = f"{text} {' '.join(w)} {prose(r.randint(0, 90))}"
+        rows.append((d, text))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    assert 20 < len(want) < 200
+    for options in ({}, {"most_words": 60}, {"block": 2}):
+        assert Counter((x.doc_id, x.item_id) for x in decontaminate.leaks(docs, table, **options).collect()) == want
+    left = decontaminate.drop_leaks(docs, table, most_words=200)
+    assert sorted(x.doc_id for x in left.collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
+
+
+def test_other_items_change_no_verdict(spark):
+    half = [f"a{k}" for k in range(12)], [f"b{k}" for k in range(12)]
+    item = (1, " ".join(half[0] + half[1]))
+    apart = spark.createDataFrame([(1, " ".join(half[0] + [f"x{k}" for k in range(300)] + half[1])), (2, item[1])], "doc_id long, text string")
+    for others in ([], [(2, " ".join(f"o{k}" for k in range(600)))]):
+        items = spark.createDataFrame([item, *others], "item_id long, text string")
+        assert [(x.doc_id, x.item_id) for x in decontaminate.leaks(apart, items).collect()] == [(2, 1)]
+
+
 # ---- 9 ----
 
 def test_toxicity_learns_and_restores(spark):
@@ -488,6 +707,73 @@ def test_toxicity_learns_and_restores(spark):
     assert {x.score for x in toxicity.toxicity(docs.limit(5), labels.limit(0)).collect()} == {1 / (1 + math.exp(30))}
 
 
+def reading_cost(cost, text, price):
+    x, y = 0, 0
+    for ch in text + " ":
+        c = toxicity._CODE.get(ch, toxicity.OTHER)
+        if c or y:
+            price += float(cost[x, y, c])
+            x, y = y, c
+    return price
+
+
+def test_viterbi_against_enumeration():
+    from itertools import product
+
+    for seed in range(60):
+        r = random.Random(seed)
+        cost = np.random.default_rng(seed).random((64, 64, 64)).astype(np.float32) * 4
+        for raw in ("stuupid", "n1ce", "a.b", "f-ck", "h3ll00", "aaa", "a1!b", "s.t.u", "€uro5"):
+            lattice = toxicity.word_lattice(raw)
+            each = [[(0.0, p)] if isinstance(p, str) else r.sample(p, min(len(p), 4)) for p in lattice]
+            got = toxicity.Restorer(cost).decode([p[0][1] if len(p) == 1 else p for p in each])
+            every = {}
+            for way in product(*each):
+                text, price = "".join(t for _, t in way), sum(p for p, _ in way)
+                every.setdefault(text.strip(), []).append(reading_cost(cost, text, price))
+            best = min(min(v) for v in every.values())
+            assert abs(min(every[got]) - best) < 1e-3
+
+
+def test_disguises():
+    r = random.Random(1)
+    known = "stupid scum trash idiot people river garden little letter coffee summer yellow happy well known house".split()
+    text = " ".join(r.choice(known) for _ in range(4000))
+    c = toxicity.char_codes(" " + text + " ")
+    counts = np.bincount(c[:-2] * 64 * 64 + c[1:-1] * 64 + c[2:], minlength=64**3)
+    restorer = toxicity.Restorer(toxicity.char_model(counts.astype(float)))
+    read = lambda t: " ".join(restorer.text(t))
+    for raw in ("stuupid", "st*pid", "s-t-u-p-i-d", "s.t.u.p.i.d", "STUPIIID", "5tup1d", "$tupid", "s t u p i d", "s  t  u  p  i  d", "s\nt\nu\np\ni\nd", "s/ t/ u/ p/ i/ d"):
+        assert read(raw) == "stupid", raw
+    assert read("scu.m") == "scum" and read("tra-sh") == "trash" and read("s c u m   t r a s h") == "scum trash"
+    assert read("well-known") == "well known" and read("little letter, coffee summer yellow") == "little letter coffee summer yellow"
+    weights = toxicity.Weights({"stupid": 2.0}, restorer)
+    assert weights.of_words(["stu", "pid,"]) == [2.0] and weights.of_words(["river", "garden"]) == []
+    assert read("a b 1 2 | 3 4") and read("1 2 3") == "1 2 3" and read("2019 | 5") == "2019 5"
+
+
+@pytest.mark.parametrize("text", ["_" * 1_000_000 + "=", "abcdefghij" * 100_000, "x" * 1_000_000, "_ " * 500_000 + "=", "a " + " ." * 500_000, "@" * 1_000_000, "ab1" * 30_000, "a-" * 100_000, "a " * 100_000])
+def test_toxicity_time_follows_the_text(text):
+    cost = np.random.default_rng(0).random((64, 64, 64)).astype(np.float32)
+    began = time.process_time()
+    toxicity.summary(text, toxicity.Weights({"stupid": 1.0}, toxicity.Restorer(cost)))
+    assert time.process_time() - began < 4
+
+
+def test_toxicity_learns_once_from_repeated_rows(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("river stone garden vileword".split() if i % 3 == 0 else "river stone garden".split()) for _ in range(12))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int("vileword" in t)) for i, t in rows], "doc_id long, toxic int")
+    seen = []
+    fitted = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: seen.append(len(y)) or fitted(x, y))
+    docs = spark.createDataFrame(rows + [rows[0]] * 10_000 + [(1, "another text")] * 50, "doc_id long, text string")
+    got = toxicity.toxicity(docs, labels, train_rows=60).collect()
+    assert len(got) == 10_170 and seen == [60] and len({x.score for x in got if x.doc_id == 0}) == 1
+    one = toxicity.toxicity(docs.limit(20), labels.withColumn("toxic", F.lit(1))).collect()
+    assert {x.predicted for x in one} == {1} and all(x.score > 0.99 for x in one)
+
+
 # ---- 10 ----
 
 def test_sharding(spark, odd, none):
@@ -507,6 +793,47 @@ def test_sharding(spark, odd, none):
     assert 0.70 < size[1] / 4000 < 0.80
 
 
+def test_shards_by_an_independent_hash(odd):
+    for weights in ([1.0] * 40, [1.0, 2.5, 0.5]):
+        def scores(key, n, weights=weights):
+            h = xxhash.xxh64_intdigest(b"\0null" if key is None else str(key).encode(), 42)
+            return [(-math.log(((xxhash.xxh64_intdigest(struct.pack("<i", k), h) >> 11) + 0.5) * 2.0**-53) / (weights[k] if k < len(weights) else 1.0), k) for k in range(n)]
+
+        for x in sharding.manifest(odd, weights=weights).collect():
+            assert (x.shard, x.grown_shard) == (min(scores(x.doc_id, len(weights)))[1], min(scores(x.doc_id, len(weights) + 1))[1])
+
+
+def test_ranks_of_equal_rows(spark, none):
+    from quotemill.llm import common
+
+    rows = spark.createDataFrame([("a", 1)] * 10_000 + [("b", k) for k in range(500)], "group string, v int")
+    table = common.shared(common.salted(rows, "salt", "v"), "ranks")
+    buckets = table.filter("group = 'a'").groupBy((F.pmod("salt", F.lit(64))).alias("b")).count().collect()
+    assert max(x["count"] for x in buckets) < 400
+    got = common.ranks_in_groups(table, "group", "salt", "rank", per_bucket=100)
+    assert got.columns == ["group", "v", "rank"]
+    by = defaultdict(list)
+    for x in got.collect():
+        by[x.group].append(x["rank"])
+    assert sorted(by["a"]) == list(range(10_000)) and sorted(by["b"]) == list(range(500))
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    long = " ".join(f"w{r.randrange(4000)}" for _ in range(30_000))
+    rows = [(1, long), (2, "before " + long[: len(long) // 2]), (3, "y" * 1_000_000), (4, " ".join(["same"] * 50_000)), (5, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(x) for x in substring_dedup.dedup_report(docs).collect()) == brute_dedup(rows, 50)
+    assert {x.doc_id: x.fp % (1 << 64) for x in simhash_dedup.near_duplicates(docs).collect()} == {i: brute_fingerprint(t) for i, t in rows}
+    assert {x.doc_id: (x.n_words, x.kept) for x in quality_rules.quality(docs).collect()} == {1: (30_000, True), 2: (15_001, True), 3: (1, False), 4: (50_000, False), 5: (2, False)}
+    assert Counter((x.doc_id, x.n_words, round(x.log_score, 4)) for x in lm_scoring.lm_scores(docs).collect()) == Counter((i, n, round(s, 4)) for (i, n, s) in brute_lm(rows))
+    ids = packing.encoder(TOKENIZER)([t for _, t in rows])
+    assert {x.doc_id: x.doc_tokens for x in packing.pack_documents(docs, TOKENIZER).collect()} == {i: len(x) + 1 for (i, _), x in zip(rows, ids, strict=True)}
+    items = spark.createDataFrame([(9, long[-400:])], "item_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, items).collect()] == [(1, 9)]
+    assert len(sharding.manifest(docs).collect()) == 5
+
+
 def test_write_shards(odd, tmp_path):
     sharding.write_shards(odd.drop("Bucket"), f"file://{tmp_path}/out", weights=[1.0] * 4, files_per_shard=2)
     assert odd.sparkSession.read.parquet(f"file://{tmp_path}/out").count() == len(odd_rows())
