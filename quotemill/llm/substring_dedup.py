@@ -45,6 +45,7 @@ WINDOW, MINIMISER = 50, 8
 LONGEST, MOST = 64, 8192
 #: Stands for a null doc_id: larger than any other.
 NO_ID = (1 << 63) - 1
+ANSWERS = "key long, content long, first_doc long, least binary"
 
 
 class Hashes(dict):
@@ -143,7 +144,7 @@ def _named(docs: DataFrame, window: int, minimiser: int, longest: int) -> DataFr
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(key, content, doc, packed): the words of the wanted super-k-mers. ``wanted``: (row, doc, want[key, content, place])."""
+    """(key, content, doc, size, packed): the words of the wanted super-k-mers. ``wanted``: (row, doc, want[key, content, place, size])."""
     # Repeated rows have one (doc, row): the join brings them together, and one of them answers.
     both = wanted.join(docs.select("doc", "row", "text"), ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "want", "text")
 
@@ -154,12 +155,12 @@ def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 words = words_of(text)
                 for w in want:
                     start, windows = divmod(w["place"], 128)
-                    out.append((w["key"], w["content"], doc, b" ".join(words[start : start + windows + window - 1])))
+                    out.append((w["key"], w["content"], doc, w["size"], b" ".join(words[start : start + windows + window - 1])))
             if out:
-                k, c, d, p = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["key", "content", "doc", "packed"])
+                *numbers, packed = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(packed, pa.binary())], names=["key", "content", "doc", "size", "packed"])
 
-    return both.mapInArrow(run, "key long, content long, doc long, packed binary")
+    return both.mapInArrow(run, "key long, content long, doc long, size long, packed binary")
 
 
 def smallest_docs(token: np.ndarray, counts: np.ndarray, bucket: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +187,7 @@ def smallest_docs(token: np.ndarray, counts: np.ndarray, bucket: np.ndarray, doc
 
 
 def _sorted_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """(key, content, least binary): per window the smallest document, little-endian longs; buckets come whole."""
+    """(key, content, first_doc, least binary): the content's own document, and per window the smallest, little-endian longs; buckets come whole."""
     arranged = packed.repartition("key").sortWithinPartitions("key")
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -199,7 +200,7 @@ def _sorted_buckets(packed: DataFrame, window: int) -> DataFrame:
         least, string = smallest_docs(token, counts, bucket, np.array([r[2] for r in rows], np.int64), window)
         cuts = np.searchsorted(string, np.arange(len(rows) + 1))
         data = [least[cuts[i] : cuts[i + 1]].astype("<i8").tobytes() for i in range(len(rows))]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array([r[1] for r in rows], pa.int64()), pa.array(data, pa.binary())], names=["key", "content", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)), pa.array(data, pa.binary())], names=["key", "content", "first_doc", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -215,7 +216,7 @@ def _sorted_buckets(packed: DataFrame, window: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return arranged.mapInArrow(run, "key long, content long, least binary")
+    return arranged.mapInArrow(run, ANSWERS)
 
 
 def _spread_buckets(packed: DataFrame, window: int) -> DataFrame:
@@ -237,14 +238,14 @@ def _spread_buckets(packed: DataFrame, window: int) -> DataFrame:
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"))
     found = windows.join(least, ["h1", "h2"])
     # A content has LONGEST windows at most.
-    per = found.groupBy("key", "content").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("w"))
+    per = found.groupBy("key", "content", "doc").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("w"))
 
     def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [np.array([x["m"] for x in w], "<i8").tobytes() for w in batch.column("w").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("content"), pa.array(data, pa.binary())], names=["key", "content", "least"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "content", "doc")), pa.array(data, pa.binary())], names=["key", "content", "first_doc", "least"])
 
-    return per.mapInArrow(pack_up, "key long, content long, least binary")
+    return per.mapInArrow(pack_up, ANSWERS)
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MINIMISER, longest: int = LONGEST, most: int = MOST) -> DataFrame:
@@ -256,12 +257,12 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
     contents = named.groupBy("key", "content").agg(one.alias("first"), F.max("doc").alias("last")).select("key", "content", "first.*", "last")
     contents = shared(contents, "contents")
     sizes = shared(contents.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
-    wanted = contents.join(sizes, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "content", "place")).alias("want"))
-    packed = shared(_packed(docs, wanted, window).join(sizes, "key"), "packed")
+    wanted = contents.join(sizes, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "content", "place", "size")).alias("want"))
+    packed = shared(_packed(docs, wanted, window), "packed")
     answers = _sorted_buckets(packed.filter(F.col("size") <= most).drop("size"), window).unionByName(_spread_buckets(packed.filter(F.col("size") > most).drop("size"), window))
-    # Answers that can take something: a smaller document than the content's own first one, or a later document.
-    known = contents.join(answers, ["key", "content"], "left").filter(F.col("least").isNotNull() | (F.col("last") > F.col("doc"))).select("key", "content", F.col("doc").alias("first_doc"), "least")
-    known = shared(known, "known")
+    # What can take something: answers, and contents that a later document has too; the answers of these name the same windows, and more.
+    again = contents.filter(F.col("last") > F.col("doc")).select("key", "content", F.col("doc").alias("first_doc"), F.lit(None).cast("binary").alias("least"))
+    known = shared(answers.unionByName(again), "known")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

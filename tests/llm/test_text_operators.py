@@ -119,7 +119,7 @@ def test_substring_dedup_of_many_equal_rows(spark):
     text = " ".join(r.choice("abcdefgh") for _ in range(60))
     rows = [(5, text + " tail")] * 10_000 + [(k, f"head{k} {text}") for k in range(8)]
     docs = substring_dedup._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    want = docs.limit(1).select("doc", "row", F.array(F.struct(F.lit(1).cast("long").alias("key"), F.lit(2).cast("long").alias("content"), F.lit(0 * 128 + 3).cast("long").alias("place"))).alias("want"))
+    want = docs.limit(1).select("doc", "row", F.array(F.struct(F.lit(1).cast("long").alias("key"), F.lit(2).cast("long").alias("content"), F.lit(3).cast("long").alias("place"), F.lit(2).cast("long").alias("size"))).alias("want"))
     assert substring_dedup._packed(docs, want, 50).count() == 1
     assert Counter(tuple(x) for x in substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_dedup(rows, 50)
 
