@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared
 from .prefix import CHUNK, running
 
 # Each interval with the stamps it ends and begins with.
@@ -32,7 +33,7 @@ def statistics(trace: DataFrame, keys: list[str] | None = None, chunk: int = CHU
     """
     by = [*(keys or []), "stage"]
     long = intervals(trace).select(*by[:-1], F.explode(F.array(*(F.struct(F.lit(name).alias("stage"), F.col(name).alias("ns")) for name, _, _ in INTERVALS))).alias("x")).select(*by[:-1], "x.*")
-    counts = long.filter("ns is not null").groupBy(*by, "ns").agg(F.count(F.lit(1)).alias("n"))
+    counts = shared(long.filter("ns is not null").groupBy(*by, "ns").agg(F.count(F.lit(1)).alias("n")), "latencies")
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     upto = running(counts, by, "ns", {"upto": ("sum", F.col("n"), True)}, chunk).join(total, by)
 

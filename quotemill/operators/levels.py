@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import free_name
+from ..plans.storage import free_name, shared
 from .prefix import CHUNK, running
 
 LEVEL = ["symbol", "side", "price"]
@@ -19,7 +19,7 @@ def better() -> Column:
 def deltas(legs: DataFrame, chunk: int = 2 * CHUNK) -> DataFrame:
     """legs with total_quantity and order_count of the level after each. A level's changes are summed in chunks of arrival, so a hot level is the work of many tasks."""
     order = free_name(legs.columns, "order")
-    rows = legs.withColumn(order, F.col("arrival_no") * 2 + F.col("leg"))
+    rows = shared(legs.withColumn(order, F.col("arrival_no") * 2 + F.col("leg")), "legs")  # read twice, folded once
     return running(rows, LEVEL, order, {"total_quantity": ("sum", F.col("d_qty"), True), "order_count": ("sum", F.col("d_count").cast("long"), True)}, chunk).drop(order)
 
 
@@ -68,5 +68,5 @@ def replay_difference(published: DataFrame, live: DataFrame) -> DataFrame:
 
 def queue_positions(resting: DataFrame, chunk: int = 2 * CHUNK) -> DataFrame:
     """resting orders with queue_pos (1 is next to trade) and qty_ahead in their level."""
-    rows = resting.select("order_id", *LEVEL, "remaining", (F.col("entered.arrival_no") * 2 + F.col("entered.leg")).alias("line"))
+    rows = shared(resting.select("order_id", *LEVEL, "remaining", (F.col("entered.arrival_no") * 2 + F.col("entered.leg")).alias("line")), "resting")
     return running(rows, LEVEL, "line", {"queue_pos": ("sum", F.lit(1).cast("long"), True), "qty_ahead": ("sum", F.col("remaining"), False)}, chunk).drop("line")

@@ -16,7 +16,7 @@ from ..operators.lineage import with_lineage
 
 @dataclass(frozen=True)
 class Batch:
-    """What a batch comes to; every part is a plan that runs when it is used.
+    """What a batch comes to; every part is a plan that runs when it is used (deltas and gaps write what they read twice when they are asked for).
 
     Parts share the fold. Use ``persisted`` if several of them are wanted.
     """
