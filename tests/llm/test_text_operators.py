@@ -532,6 +532,58 @@ def test_near_copies_of_edited_texts(spark, none, most):
     assert simhash_dedup.keep_one(none, grouping=near_copies.near_copies).count() == 0
 
 
+def shingle_sets(texts):
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for t in texts for w in [words((t or "").lower())]]
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize(("most", "near"), [(12, 4), (2, 1), (2, 0)])
+def test_near_copies_in_large_buckets_lose_no_link(spark, most, near):
+    """Documents on one template share bands without being near copies; the pairs among them are found whatever stands between."""
+    from quotemill.llm import near_copies
+
+    r = random.Random(11)
+    template = [f"t{k}" for k in range(220)]
+    texts = []
+    for _ in range(60):
+        own = template[:170] + [f"o{r.randrange(10**6)}" for _ in range(r.randint(25, 60))]
+        for k in range(r.choice((1, 1, 2, 3))):
+            w = list(own)
+            for _ in range(k * 2):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    rows = list(enumerate(texts)) + [(len(texts), ""), (len(texts) + 1, None), (0, texts[0]), (None, texts[1])]
+    sets = shingle_sets(t for _, t in rows)
+    group = reach(set(sets), alike)
+    least = {}
+    for (i, _), x in zip(rows, sets, strict=True):
+        if i is not None:
+            least[group[x]] = min(least.get(group[x], i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.component_id) for x in near_copies.near_copies(docs, most=most, near=near).collect()}
+    assert got == {(i, least[group[x]]) for (i, _), x in zip(rows, sets, strict=True)}
+    assert len(set(least.values())) > 10
+
+
+def test_links_by_prefix_are_all_links_between_groups(spark):
+    from quotemill.llm import near_copies
+
+    r = random.Random(5)
+    sets = []
+    for _ in range(25):
+        base = r.sample(range(60), r.randint(1, 50))
+        sets += [frozenset(base) - set(r.sample(base, min(len(base) - 1, k))) | {r.randrange(200) for _ in range(k)} for k in (0, 1, 2, 5)]
+    sets = sorted(set(sets), key=sorted) + [frozenset()]
+    rows = [(i, r.randrange(40), sorted(x)) for i, x in enumerate(sets)]
+    got = near_copies.links_by_prefix(spark.createDataFrame(rows, "fp long, component long, set array<int>"), 0.8).collect()
+    want = {(i, j) for i, ci, _ in rows for j, cj, _ in rows if i < j and ci != cj and alike(sets[i], sets[j])}
+    assert want and sorted((x.a, x.b) for x in got) == sorted(want)
+
+
 # ---- 7 ----
 
 def brute_quality(text):
