@@ -201,6 +201,7 @@ class Index:
                     mine = have = have if have is not None else shingles_of(words, SHINGLE)
                 whole = len(self.shingles[item] & mine) / len(self.shingles[item])
                 answer = len(self.answers[item] & inside) / len(self.answers[item])
+                score = round(score, 9)  # terms come in any order; of equal passages the first counts
                 if whole >= OVERLAP and answer >= OVERLAP and (whole, score) > best.get((r, item), (0.0, 0.0))[:2]:
                     best[r, item] = (whole, score, answer, k)
         return [(r, item, score, whole, answer, k) for (r, item), (whole, score, answer, k) in best.items()]

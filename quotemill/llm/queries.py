@@ -42,6 +42,32 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+#: Words in repeated windows are the union of what repeats cover; the longest repeat is the longest run of equal windows at one distance.
+ORACLE_SQL["op7_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (
+  SELECT doc_id, i, CASE WHEN i + 2 <= n THEN string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS g3,
+    CASE WHEN i + 7 <= n THEN string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS g8
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT doc_id, i, g8, g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS r3, g8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g8) > 1 AS r8 FROM g),
+c AS (SELECT doc_id, max(r3::INTEGER) OVER (o ROWS 2 PRECEDING) AS c3, max(r8::INTEGER) OVER (o ROWS 7 PRECEDING) AS c8 FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+per AS (SELECT doc_id, count(*) AS n_words, sum(c3)::BIGINT AS n_repeat_words, sum(c8)::BIGINT AS repeat_covered FROM c GROUP BY 1),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS apart FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.g8 = b.g8 AND a.i < b.i WHERE a.r8),
+stretch AS (SELECT doc_id, apart, i - row_number() OVER (PARTITION BY doc_id, apart ORDER BY i) AS s FROM pairs),
+longest AS (SELECT doc_id, max(n) + 7 AS longest_repeat FROM (SELECT doc_id, count(*) AS n FROM stretch GROUP BY doc_id, apart, s) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(repeat_covered, 0) AS repeat_covered, coalesce(longest_repeat, 0) AS longest_repeat
+  FROM d LEFT JOIN per USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN lines USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 10 * repeat_covered <= 4 * n_words AND longest_repeat <= 100 AS kept FROM f"""
+
+
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_report
@@ -80,7 +106,42 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+
+
+#: BM25 without an index: every passage against every item that shares a word with it.
+ORACLE_SQL["op8_decontamination"] = r"""
+WITH raw AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws,
+    list_filter([regexp_extract_all(lower(x), '[a-z0-9\x{80}-\x{10FFFF}]+') FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: len(x) > 0) AS parts
+  FROM benchmark WHERE text IS NOT NULL),
+items AS (
+  SELECT item_id, ws, len(ws) AS n, CASE WHEN len(ws) <= 64 THEN 64 ELSE 64 * (1 << ceil(log2(ceil(len(ws) / 64)))::INTEGER) END AS cell, least(5, len(ws)) AS size,
+    list_distinct(CASE WHEN len(parts) > 1 THEN parts[-1] ELSE parts[1][-greatest(1, len(parts[1]) // 3):] END) AS answer
+  FROM raw WHERE len(ws) > 0),
+tf AS (SELECT item_id, n, cell, word, count(*) AS c FROM (SELECT item_id, n, cell, unnest(ws) AS word FROM items) GROUP BY ALL),
+df AS (SELECT word, count(*) AS f FROM tf GROUP BY 1),
+every AS (SELECT count(*) AS items, avg(n) AS mean FROM items),
+weight AS (SELECT item_id, cell, word, ln(1 + (items - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean)) AS x FROM tf JOIN df USING (word), every),
+share AS (SELECT item_id, cell, word, x / sum(x) OVER (PARTITION BY item_id) AS x FROM weight),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE text IS NOT NULL)),
+spot AS (
+  SELECT doc_id, cell, i, word, unnest(CASE WHEN i >= cell THEN [i // cell, i // cell - 1] ELSE [0] END) AS passage
+  FROM w, (SELECT DISTINCT cell FROM items)),
+held AS (SELECT DISTINCT doc_id, cell, passage, word FROM spot),
+found AS (SELECT doc_id, item_id, cell, passage, round(sum(x), 9) AS score FROM held JOIN share USING (cell, word) GROUP BY ALL HAVING sum(x) >= 0.6 - 1e-9),
+shingle AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + size - 1], ' ') AS s FROM (SELECT item_id, ws, size, unnest(range(1, n - size + 2)) AS i FROM items)),
+passages AS (SELECT doc_id, cell, passage, list(word ORDER BY i) AS ws FROM spot SEMI JOIN found USING (doc_id, cell, passage) GROUP BY ALL),
+sizes AS (SELECT DISTINCT doc_id, cell, passage, size FROM found JOIN items USING (item_id, cell)),
+runs AS (SELECT DISTINCT doc_id, cell, passage, size, array_to_string(ws[i:i + size - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM passages JOIN sizes USING (doc_id, cell, passage))),
+whole AS (
+  SELECT f.doc_id, f.item_id, f.cell, f.passage, f.score, count(r.s) / count(*) AS item_overlap
+  FROM found f JOIN items USING (item_id) JOIN shingle USING (item_id) LEFT JOIN runs r ON r.doc_id = f.doc_id AND r.cell = f.cell AND r.passage = f.passage AND r.size = items.size AND r.s = shingle.s GROUP BY ALL),
+answered AS (
+  SELECT whole.*, len(list_intersect(answer, passages.ws)) / len(answer) AS answer_overlap
+  FROM whole JOIN items USING (item_id) JOIN passages ON passages.doc_id = whole.doc_id AND passages.cell = whole.cell AND passages.passage = whole.passage)
+SELECT doc_id, item_id, round(score, 6) AS score, item_overlap, answer_overlap, passage FROM answered WHERE item_overlap >= 0.8 AND answer_overlap >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY item_overlap DESC, score DESC, passage) = 1"""
 
 
 @query
