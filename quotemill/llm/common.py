@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import free_name, importable, shared, unshare
 
-__all__ = ["Ids", "as_bytes", "free_name", "importable", "ranks_in_groups", "salted", "shared", "steps", "unshare", "words_of"]
+__all__ = ["Ids", "as_bytes", "free_name", "importable", "join_hot", "ranks_in_groups", "salted", "shared", "steps", "unshare", "words_of"]
 
 #: Bytes of text that one vectorised step works on; longer single texts make a step of their own.
 STEP_BYTES = 2 << 20
@@ -76,3 +76,23 @@ def ranks_in_groups(table: DataFrame, group: str, salt: str, name: str, per_buck
     local = spread.withColumn(name, F.row_number().over(Window.partitionBy(group, b).orderBy(salt)).cast("long") - 1)
     out = local.join(bases, (F.col(group) == F.col(f"__{group}")) & (F.col(b) == F.col(f"__{b}")))
     return out.withColumn(name, F.col(name) + F.col(base)).drop(b, base, f"__{group}", f"__{b}", salt)
+
+
+# ---- joins whose keys may be hot ----
+
+#: Keys that may be broadcast with what belongs to them are fewer than this.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, hot: int = HOT) -> DataFrame:
+    """``rows`` with what ``table`` holds for their ``key``; a row without it goes.
+
+    ``rows`` is written; ``table`` has one row for each key, and in ``count`` how many of the ``total`` rows have it; that column goes too. Keys of more than one in ``hot`` rows are fewer
+    than ``hot``, so they are broadcast: a group that holds a third of all rows is joined where its rows are. Only the others are shuffled.
+    """
+    own = free_name([*rows.columns, *table.columns], "own_key")
+    named, often = table.withColumnRenamed(key, own), F.col(count) * hot > total
+    few = F.broadcast(named.filter(often).drop(count))
+    here = rows.join(few, F.col(key) == F.col(own))
+    others = rows.join(F.broadcast(few.select(own)), F.col(key) == F.col(own), "left_anti").join(named.filter(~often).drop(count), F.col(key) == F.col(own))
+    return here.unionByName(others).drop(own)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import as_bytes, free_name, shared, steps
+from .common import as_bytes, free_name, join_hot, shared, steps, unshare
 
 SEED, SHINGLE, DISTANCE, SEGMENTS, SEGMENT = 42, 3, 3, 4, 16
 #: Halves of the second and third segment (numbers of bytes after the first) that a table's key holds besides the first segment.
@@ -157,12 +157,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id: the smallest doc_id reachable; grouped: the group's least fingerprint, which tells groups apart even where doc_ids are not unique.
     """
     rows = shared(fingerprints(docs, id_col=id_col, text_col=text_col, extra=extra), "simhash")
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(reps.select("fp"), most, rows.count() > wide_from))
-    named = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select(F.col("fp").alias("_fp"), F.col("component").alias("grouped"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("_fp")).drop("_fp")
+    total = rows.count()
+    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    comp = components(links(reps.select("fp"), most, total > wide_from))
+    return grouped(rows, reps, comp, total)
+
+
+def grouped(rows: DataFrame, reps: DataFrame, comp: DataFrame, total: int) -> DataFrame:
+    """``rows`` (doc_id, fp, ...), all ``total`` of them, with grouped and component_id. ``reps``: (fp, least doc_id, copies); ``comp``: what links reach."""
+    named = shared(reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("grouped")), "simhash-nodes")
+    least = named.groupBy("grouped").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    by_fp = shared(join_hot(named.drop("least"), least, "grouped", "nodes", named.count()), "simhash-groups")
+    unshare(named)
+    return join_hot(rows, by_fp, "fp", "copies", total)
 
 
 def hex_of(fp: Column) -> Column:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quotemill.llm import chat_format, decontaminate, html_extract, lm_scoring, packing, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
+from quotemill.llm import chat_format, common, decontaminate, html_extract, lm_scoring, packing, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -870,6 +870,19 @@ def test_ranks_of_equal_rows(spark, none):
     assert sorted(by["a"]) == list(range(10_000)) and sorted(by["b"]) == list(range(500))
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_join_of_hot_keys(spark, hot):
+    """A key of over a third of the rows, some of one row, some that the table lacks; whichever of them count as hot, the rows are the same."""
+    keys = [7] * 40 + [8] * 30 + list(range(100, 130)) + [9, 9]
+    rows = common.shared(spark.createDataFrame(list(enumerate(keys)), "id long, k long").withColumn("own_key", F.col("id") * 2), "rows")
+    known = {k: keys.count(k) for k in set(keys) - {9}}
+    table = spark.createDataFrame([(k, n, str(k)) for k, n in known.items()], "k long, n long, what string")
+    got = common.join_hot(rows, table, "k", "n", len(keys), hot)
+    assert got.columns == ["id", "k", "own_key", "what"]
+    assert sorted(map(tuple, got.collect())) == [(i, k, i * 2, str(k)) for i, k in enumerate(keys) if k != 9]
+    assert common.join_hot(rows.limit(0), table.limit(0), "k", "n", 0, hot).count() == 0
+
+
 def test_very_long_texts(spark):
     r = random.Random(2)
     long = " ".join(f"w{r.randrange(4000)}" for _ in range(30_000))
