@@ -343,15 +343,20 @@ def generated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- streams ----
 
+#: Messages of one file of a stream, about: what a stateful step holds at once.
+PER_FILE = 1_000_000
+
+
 def _streamed(rows: DataFrame, batches: int = 2) -> DataFrame:
-    """Rows as a stream of files, in arrival order."""
+    """Rows as a stream of files, in arrival order: ``batches`` of them, more for a feed of more than as many ``PER_FILE`` rows."""
     spark = rows.sparkSession
     rows = shared(rows, "feed")
     path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    last = rows.agg(F.max("arrival_no")).first()[0] or 0
+    total, last = rows.agg(F.count(F.lit(1)), F.max("arrival_no")).first()
+    batches, last = max(batches, -(-total // PER_FILE)), last or 0
     for k in range(batches):
         part = rows.filter((F.col("arrival_no") * batches >= k * (last + 1)) & (F.col("arrival_no") * batches < (k + 1) * (last + 1)))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -401,6 +401,63 @@ def test_streamed_sinks_resync_and_counters(spark, tmp_path):
     assert feed["messages"] == want.folded.count() and feed["deltas"] == want.deltas.count() and counters.totals["gaps"]["gaps"] == sum(r.kind == "Gap" for r in batch)
 
 
+class CountedState(dict):
+    """A map state in memory that counts its calls."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("exists", "containsKey", "getValue", "updateValue", "removeKey"):
+            CountedState.calls += 1
+        return super().__getattribute__(name)
+
+    exists = __len__ = lambda self: len(self.keys())
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+
+def test_streamed_state_is_called_for_pages_not_messages():
+    import pandas as pd
+
+    from quotemill.streaming import processors
+
+    state, whole = CountedState(), lifecycle.Fold()
+    CountedState.calls = 0
+    fold, level = processors.FoldProcessor(4), processors.LevelProcessor()
+    fold.orders, level.state = state, CountedState()
+    want, got, books = [], [], {}
+    for k in range(2):
+        at = range(k * 3000, k * 3000 + 3000)
+        rows = [(1, n, 0, "AAPL", 0, 100 + n % 7, 10, 14) if n % 3 == 0 else (2, n - 1, 0, None, 0, 0, 0, 15) if n % 3 == 1 and n % 2 else (4, n // 3 * 3, n, None, 0, 90, 5, 0) if n % 3 == 2 else (3, n - 3, 0, None, 0, 0, 4, 1) for n in at]
+        rows = [(m, o, w, s, d, p, q, 15 if m == 2 else 1 if m in (1, 3) else 0) for m, o, w, s, d, p, q, _ in rows]
+        want += [whole.apply(m, o, None if z & 1 else w, s, None if z & 2 else d, None if z & 4 else p, None if z & 8 else q) for m, o, w, s, d, p, q, z in rows]
+        frame = pd.DataFrame(rows, columns=["msg_type", "order_id", "new_order_id", "symbol", "side", "price", "quantity", "nulls"]).assign(arrival_no=at, seq_num=at, timestamp=at, evicted=False)
+        made = pd.concat(list(fold.handleInputRows((0,), iter([frame.iloc[1500:], frame.iloc[:1500]]), None)))
+        got += [(r.symbol, r.error, [(r.side0, r.price0, r.d_qty0, r.d_count0), (r.side1, r.price1, r.d_qty1, r.d_count1)][: r.n_legs]) for r in made.itertuples()]
+        legs = [(r.arrival_no, i, r.symbol, *((r.side0, r.price0, r.d_qty0, r.d_count0), (r.side1, r.price1, r.d_qty1, r.d_count1))[i], 0, 0, 0) for r in made.itertuples() for i in range(r.n_legs)]
+        changes = pd.DataFrame(legs, columns=["arrival_no", "leg", "symbol", "side", "price", "d_qty", "d_count", "seq_num", "timestamp", "shard"])
+        for r in pd.concat(list(level.handleInputRows(("AAPL",), iter([changes]), None))).itertuples():
+            quantity, orders = books.get((r.side, r.price), (0, 0))
+            books[r.side, r.price] = quantity + r.d_qty, orders + r.d_count
+            assert books[r.side, r.price] == (r.total_quantity, r.order_count)
+    assert got == want and {e for _, e, _ in got} >= {None, "UnroutableOrderId"}
+    assert dict(level.state) == {k: v for k, v in books.items() if v[1]}
+    assert CountedState.calls < 200  # for 6,000 messages
+
+
+def test_streamed_ids_keep_all_their_digits(spark, tmp_path):
+    """Nulls beside them don't turn them into floats."""
+    from quotemill.streaming import pipeline as streams
+
+    big = (1 << 60) + 1
+    rows = frame(spark, [add(10, big, 0, 100, 10), replace(11, big, big + 2, 101, 7), execute(12, big + 2, 3), cancel(13, big)])
+    source = f"file://{tmp_path}/in"
+    rows.coalesce(1).write.parquet(source)
+    got = []
+    streams.start(streams.folded(spark.readStream.schema(rows.schema).parquet(source), None), lambda b: got.extend(b.collect()), partitions=2).awaitTermination()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, run_messages(rows, 4).folded.select(got[0].__fields__).collect()))
+    assert {r.new_order_id for r in got} == {None, big + 2}
+
+
 def test_queues_in_the_pipeline(spark):
     """Evicted messages are routed, but show as gaps; what follows an evicted add finds no order."""
     from quotemill.plans.pipeline import Queues
