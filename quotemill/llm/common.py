@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import free_name, importable, shared, unshare
 
-__all__ = ["Ids", "as_bytes", "free_name", "importable", "join_hot", "ranks_in_groups", "salted", "shared", "steps", "unshare", "words_of"]
+__all__ = ["Ids", "as_bytes", "free_name", "importable", "join_hot", "parted", "ranks_in_groups", "salted", "shared", "steps", "unshare", "words_of"]
 
 #: Bytes of text that one vectorised step works on; longer single texts make a step of their own.
 STEP_BYTES = 2 << 20
@@ -96,3 +96,23 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int
     here = rows.join(few, F.col(key) == F.col(own))
     others = rows.join(F.broadcast(few.select(own)), F.col(key) == F.col(own), "left_anti").join(named.filter(~often).drop(count), F.col(key) == F.col(own))
     return here.unionByName(others).drop(own)
+
+
+# ---- joins that few rows need ----
+
+#: Bits of what ``parted`` broadcasts: 131,072 rows of two longs at most, whatever the tables' sizes.
+SLOTS = 1 << 23
+
+
+def parted(rows: DataFrame, key: Column, table: DataFrame, table_key: Column, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` (a long) may be in ``table``, and those whose key surely isn't, which need no join with it. No shuffle of rows.
+
+    A Bloom filter with one hash: a table of 64-bit words is broadcast. Of n keys, n / slots of the other rows are taken for members, so they only meet a join that they don't need.
+    """
+    at, bits, word = (free_name(rows.columns, x) for x in ("slot_word", "slot_bits", "own_word"))
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), slot(k).bitwiseAND(F.lit(63)).cast("int"))
+    words = table.select(F.shiftright(slot(table_key), 6).alias(at), bit(table_key).alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
+    marked = rows.withColumn(word, F.shiftright(slot(key), 6)).join(F.broadcast(words), F.col(word) == F.col(at), "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(bit(key)), F.lit(0)) != 0
+    return tuple(marked.filter(x).select(*rows.columns) for x in (may, ~may))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, as_bytes, free_name, shared, steps, unshare, words_of
+from .common import Ids, as_bytes, free_name, parted, shared, steps, unshare, words_of
 
 WINDOW, MINIMISER = 50, 8
 #: Windows of one super-k-mer; contents of a bucket that are sorted in one task.
@@ -316,12 +316,13 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows with their repeated words taken out; texts that lose none stay as they are. All rows and columns stay."""
+    """The rows with their repeated words taken out; texts that lose none stay as they are, and but for few are not shuffled. All rows and columns stay."""
     rows = _rows(docs, id_col, text_col)
     doc, row, lost, whole = (free_name(docs.columns, x) for x in ("span_doc", "span_row", "lost_spans", "whole_text"))
     spans = repeated_spans(rows, **options).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("spans").alias(lost))
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(text_col) == F.col(row))
-    both = docs.join(spans, same, "left")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    losing, whole_ones = parted(docs, F.xxhash64(own, F.xxhash64(text_col)), spans, F.xxhash64(doc, row))
+    both = losing.join(spans, (own == F.col(doc)) & (F.xxhash64(text_col) == F.col(row)), "left")
     both = both.withColumn(whole, F.when(F.col(lost).isNotNull(), as_bytes(text_col))).withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)))
     names = docs.columns
     at = names.index(text_col)
@@ -337,4 +338,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     ordered = both.select(*(F.col(c) for c in names), lost, whole)
-    return ordered.mapInArrow(run, docs.schema)
+    return ordered.mapInArrow(run, docs.schema).unionByName(whole_ones)
