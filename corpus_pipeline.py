@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
 
 1. ``quality_rules``: documents that fail the base or the repetition rule go.
-2. ``simhash_near_dedup``: of each group of near copies the document with the smallest doc_id stays. Near copies share 0.8 of their 5-word shingles
-   (Jaccard); SimHash with 3 words and 3 bits is the query op6's setting, and finds few of them.
+2. ``simhash_near_dedup``: of each group of near copies the document with the smallest doc_id stays. Documents link by SimHash over 5-word shingles, within 3 bits, by pigeonring. An exact
+   search then adds the pairs that share 0.8 of their 5-word shingles (Jaccard) but differ in more bits, as most such pairs do; groups are what links of either kind reach.
 3. ``substring_dedup``: words in windows of 50 that start in an earlier document too are taken out; a text that loses words comes back with
    single spaces, and n_chars is counted anew. No document goes, even one that keeps no word.
 4. ``benchmark_decontamination``: documents that hold a test item go.
@@ -35,7 +35,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return simhash_dedup.keep_one(docs, grouping=near_copies.near_copies)
+    return simhash_dedup.keep_one(docs, grouping=near_copies.near_copies, simhash=True)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

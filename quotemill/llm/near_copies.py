@@ -14,6 +14,9 @@ Every candidate is verified: the shingles' hashes of both are intersected, and o
 texts that are in some candidate or in step 2 are read again for their shingles, so no table holds the shingles of all. What step 2 pairs without a link are
 texts of different groups that have a rare shingle in common; only a corpus of many such texts makes it slow.
 
+With ``simhash``, documents link by ``simhash_dedup``'s method first: its fingerprint of the asked shingles, its pigeonring search and its distance. These links stand
+unverified, as there; the search above adds the pairs of the asked similarity that differ in more bits, and groups are what links of either kind reach.
+
 Edge cases: a null text counts as empty; empty texts are equal; a document of fewer words than a shingle has them all as its
 single shingle. Very long texts are hashed whole. Null ids, repeated rows and tied ids are as in ``simhash_dedup``.
 """
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import as_bytes, shared, steps, unshare
-from .simhash_dedup import grouped
+from .simhash_dedup import WIDE_FROM, fingerprint, grouped
+from .simhash_dedup import links as simhash_links
 from .substring_dedup import Hashes, run_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -63,19 +67,22 @@ def _key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
-def _bands(docs: DataFrame, id_col: str, text_col: str, size: int, extra: dict[str, Column]) -> DataFrame:
-    """(doc_id, fp, bands, *extra) of every row; fp is a hash of the set."""
+def _bands(docs: DataFrame, id_col: str, text_col: str, size: int, extra: dict[str, Column], simhash: bool = False) -> DataFrame:
+    """(doc_id, fp, bands, *extra) of every row; fp is a hash of the set. ``simhash``: also sim, the SimHash fingerprint, after bands."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"), *(c.alias(k) for k, c in extra.items()))
     names = list(extra)
-    out = rows.select("doc_id", F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("bands"), *names).schema
+    sims = ["sim"] if simhash else []
+    out = rows.select("doc_id", F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("bands"), *(F.lit(0).cast("long").alias(c) for c in sims), *names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Hashes()
         for part in steps(batches, "text"):
-            sets = [shingles(t, size, table) for t in part.column("text").to_pylist()]
+            texts = part.column("text").to_pylist()
+            sets = [shingles(t, size, table) for t in texts]
             fp = np.fromiter(map(_key, sets), np.uint64, len(sets)).view(np.int64)
             bands = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), bands, *(part.column(k) for k in names)], names=["doc_id", "fp", "bands", *names])
+            sim = [pa.array(np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts)).view(np.int64)) for _ in sims]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), bands, *sim, *(part.column(k) for k in names)], names=["doc_id", "fp", "bands", *sims, *names])
 
     return rows.mapInArrow(run, out)
 
@@ -148,11 +155,27 @@ def links_by_prefix(sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, near: int = NEAR, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, fp, *extra, grouped, component_id) of every row, as ``simhash_dedup.near_duplicates`` gives them."""
+def links_by_simhash(prints: DataFrame, wide: bool = False) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints are equal or near, enough to give their groups. ``prints``: (fp, sim), which may repeat."""
+    prints = shared(prints.distinct(), "shingle-prints")
+    hubs = shared(prints.groupBy("sim").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("nodes")), "shingle-hubs")
+    equal = prints.join(hubs.filter("nodes > 1"), "sim").filter("fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    near = simhash_links(hubs.select(F.col("sim").alias("fp")), wide=wide)
+    hub_of = lambda side: hubs.select(F.col("sim").alias(side), F.col("hub").alias(f"hub_{side}"))
+    near = near.join(hub_of("a"), "a").join(hub_of("b"), "b").filter("hub_a != hub_b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
+    found = shared(equal.unionByName(near), "simhash-links")
+    unshare(prints)
+    unshare(hubs)
+    return found
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, near: int = NEAR, simhash: bool = False, wide_from: int = WIDE_FROM, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp, *extra, grouped, component_id) of every row, as ``simhash_dedup.near_duplicates`` gives them. ``simhash``: its links count too."""
     extra = extra or {}
     whole = F.xxhash64(*(docs[c] for c in docs.columns))
-    rows = shared(_bands(docs, id_col, text_col, shingle, {**extra, "_whole": whole}), "shingle-bands")
+    rows = shared(_bands(docs, id_col, text_col, shingle, {**extra, "_whole": whole}, simhash), "shingle-bands")
+    total = rows.count()
+    by_simhash = [links_by_simhash(rows.select("fp", "sim"), total > wide_from)] if simhash else []
     # One row stands for all of equal sets.
     reps = shared(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_whole").alias("whole"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "shingle-nodes")
     keyed = shared(buckets(reps.select("fp", "bands")), "shingle-buckets")
@@ -168,8 +191,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sent = _sets(texts, shingle, "pairs").select(F.explode("pairs").alias("pair"), "set").select("pair.a", "pair.b", "set")
     both = sent.groupBy("a", "b").agg(F.collect_list("set").alias("sets")).filter(F.size("sets") == 2)
     both = both.select("a", "b", F.element_at("sets", 1).alias("x"), F.element_at("sets", 2).alias("y"))
-    links = shared(both.filter(_alike("x", "y", similarity)).select("a", "b"), "shingle-links")
+    verified = shared(both.filter(_alike("x", "y", similarity)).select("a", "b"), "shingle-links")
+    links = verified
     unshare(asked)
+    for found in by_simhash:
+        links = links.unionByName(found)
     comp = components(links)
     rest = shared(undecided(large, comp).join(reps.select("fp", "whole"), "fp"), "shingle-rest")
     if not rest.isEmpty():
@@ -180,6 +206,6 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if not more.isEmpty():
             comp = components(links.unionByName(more))
         unshare(more)
-    for table in (large, links, rest):
+    for table in (large, verified, rest, *by_simhash):
         unshare(table)
-    return grouped(rows.drop("bands", "_whole"), reps.select("fp", "least", "copies"), comp, rows.count())
+    return grouped(rows.drop("bands", "sim", "_whole"), reps.select("fp", "least", "copies"), comp, total)

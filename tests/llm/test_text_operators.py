@@ -569,6 +569,41 @@ def test_near_copies_in_large_buckets_lose_no_link(spark, most, near):
     assert len(set(least.values())) > 10
 
 
+@pytest.mark.parametrize("wide_from", [1 << 26, 1])
+def test_near_dedup_stage_links_by_simhash_too(spark, none, wide_from):
+    """Fingerprints count repeats, sets of shingles don't: some pairs are near by the one only, some by the other, and groups are what both reach."""
+    from quotemill.llm import near_copies
+
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(6):
+        base = prose(60) * 60
+        first, second = base + prose(60), base + prose(60)
+        edited = list(second)
+        edited[-1] = "other"
+        rows += [" ".join(x) for x in (first, second, edited)]
+    plain = prose(200)
+    rows += [" ".join(plain), " ".join(w if i % 66 != 50 else "x" for i, w in enumerate(plain)), " ".join(prose(90)), "", "  "]
+    rows = list(enumerate(rows)) + [(99, None), (0, rows[0]), (None, rows[1])]
+    sets = shingle_sets(t for _, t in rows)
+    prints = [simhash_dedup.fingerprint((t or "").encode(), 5) for _, t in rows]
+    bits = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    assert any(bits(3 * k, 3 * k + 1) in (1, 2, 3) for k in range(6)) and not any(alike(sets[3 * k], sets[3 * k + 1]) for k in range(6))
+    assert bits(18, 19) > 3 and alike(sets[18], sets[19])
+    group = reach(range(len(rows)), lambda i, j: alike(sets[i], sets[j]) or bits(i, j) <= 3)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[n]] = min(least.get(group[n], i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies.near_copies(docs, simhash=True, wide_from=wide_from)
+    assert got.columns == ["doc_id", "fp", "grouped", "component_id"]
+    assert Counter((x.doc_id, x.component_id) for x in got.collect()) == Counter((i, least[group[n]]) for n, (i, _) in enumerate(rows))
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(set(least.values()))
+    assert corpus_pipeline.near_dedup_stage(spark, none, "").count() == 0
+
+
 def test_links_by_prefix_are_all_links_between_groups(spark):
     from quotemill.llm import near_copies
 
@@ -904,6 +939,23 @@ def test_write_shards(odd, tmp_path):
     assert odd.sparkSession.read.parquet(f"file://{tmp_path}/out").count() == len(odd_rows())
 
 
+# ---- joins that few rows need ----
+
+def test_parted_loses_no_row_and_sends_few(spark):
+    from quotemill.llm.common import parted
+
+    rows = spark.createDataFrame([(None if i % 50 == 7 else i % 400, f"t{i}") for i in range(1000)], "k long, slot_word string")
+    table = spark.createDataFrame([(x, 0) for x in (3, 5, 5, 390, -1)], "own long, more int")
+    for slots in (1 << 23, 128, 64):
+        may, others = (sorted(map(tuple, x.collect()), key=str) for x in parted(rows, F.col("k"), table, F.col("own"), slots))
+        assert sorted(may + others, key=str) == sorted(map(tuple, rows.collect()), key=str)
+        assert not {k for k, _ in others} & {3, 5, 390}
+        assert slots == 64 or len(may) < 200
+        assert slots < 1000 or {k for k, _ in may} == {3, 5, 390}
+    may, others = parted(rows, F.col("k"), table.limit(0), F.col("own"))
+    assert may.count() == 0 and others.count() == 1000
+
+
 # ---- pipeline ----
 
 def test_pipeline_against_brute_force(spark, tmp_path):
